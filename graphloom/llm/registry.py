@@ -1,10 +1,14 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-from graphloom.llm import warc
+from graphloom.llm import langid, sentencepiece_backend, warc
 
 
 def queries():
-    return {"op1_warc_salvage": warc.op1_warc_salvage}
+    return {
+        "op1_warc_salvage": warc.op1_warc_salvage,
+        "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
+        "op9_language_id": langid.op9_language_id,
+    }
 
 
 def oracle_sql():
