@@ -137,11 +137,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Train on at most ``max_docs`` labelled rows, chosen by a hash of the id, and ``WINDOWS_PER_DOC`` windows of each.
 
     Rows with a null label or a text without letters teach nothing. None when no row is left.
-    The driver gets at most ``max_docs * WINDOWS_PER_DOC`` windows of ``WINDOW`` characters.
+    The driver gets at most ``max_docs * WINDOWS_PER_DOC`` windows of ``WINDOW`` characters; the hash is also cut at a level that
+    leaves a few times ``max_docs`` rows, so that all tasks together send the driver little, however many they are.
     """
     text, key = F.col(text_col), F.xxhash64(F.col(id_col).cast("string"))
     spots = [F.substring(text, (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(i)), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)]
     taught = docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    share = min(1.0, 4 * max_docs / max(1, docs.where(F.col(lang_col).isNotNull()).count()))
+    taught = taught.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = taught.select(key.alias("k"), F.col(lang_col).alias("lang"), F.array(*spots).alias("spots")).orderBy("k", "lang").limit(max_docs).collect()
     pairs = sorted((r.k, r.lang, s) for r in rows for s in r.spots if any(c.isalpha() for c in s))
     if not pairs:

@@ -1,11 +1,12 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-from graphloom.llm import langid, sentencepiece_backend, warc
+from graphloom.llm import langid, sentencepiece_backend, suffix_array, warc
 
 
 def queries():
     return {
         "op1_warc_salvage": warc.op1_warc_salvage,
+        "op2_suffix_array_dedup": suffix_array.op2_suffix_array_dedup,
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
     }
