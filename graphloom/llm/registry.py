@@ -1,6 +1,6 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-from graphloom.llm import langid, phrases, sentencepiece_backend, suffix_array, warc
+from graphloom.llm import forest, langid, phrases, sentencepiece_backend, suffix_array, warc
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_warc_salvage": warc.op1_warc_salvage,
         "op2_suffix_array_dedup": suffix_array.op2_suffix_array_dedup,
         "op3_substring_dedup": phrases.op3_substring_dedup,
+        "op4_ngram_jaccard_join": forest.op4_ngram_jaccard_join,
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
     }
