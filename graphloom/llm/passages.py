@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from graphloom.sources.tables import written
 
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20  # of corpus text for each shard
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20  # of corpus text for each shard of anchors
+FINE = 4  # shards of segments in each of these
 CHUNK = 1 << 15  # units handled at a time, so that the arrays stay in cache
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.Stru
         if right.num_rows:
             for raw in left.column("docs"):
                 docs_ = _unpack(raw.as_py())
-                texts, h, counts, first, last, s, _, _, which = _block_anchors(kind, docs_, id_col, text_col, shards, width)
+                texts, h, counts, first, last, s, v, _, which = _block_anchors(kind, docs_, id_col, text_col, shards, width)
                 per = dict(zip(*np.unique(s, return_counts=True), strict=True))
                 got = {r["shard"]: r["bits"] for r in right.to_pylist()}
                 hit = np.concatenate([np.unpackbits(np.frombuffer(got[x], np.uint8), count=n) for x, n in sorted(per.items())]).astype(bool)
@@ -254,9 +255,9 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.Stru
                 take = np.flatnonzero(hit[which] & (ids[row] != NEVER)) if len(first) else np.zeros(0, np.int64)
                 if not len(take):
                     continue
-                shard = s[which[take]]
-                take = take[np.argsort(shard, kind="stable")]
-                shard = s[which[take]]
+                fine = s * FINE + (v % np.uint64(FINE)).astype(np.int64)
+                take = take[np.argsort(fine[which[take]], kind="stable")]
+                shard = fine[which[take]]
                 offset = first[take] - (np.cumsum(counts) - counts)[row[take]]
                 contents = kind.cut(b"".join(texts), kind.starts(texts), first[take], last[take] + kind.length - 1)
                 index: dict[tuple[int, bytes], int] = {}

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from graphloom.llm import passages
 
 SMALL = 48  # below this a text is sorted by comparing
+BASE = 1 << 19  # below this a text of names is sorted by doubling prefixes, which ends the recursion
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -179,7 +180,23 @@ def _names(t: np.ndarray, order: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(differs)])
 
 
-def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
+def _by_doubling(t: np.ndarray) -> np.ndarray:
+    """The order of suffixes by ranks of prefixes of twice the length in each round."""
+    n, width = len(t), 1
+    rank = t.astype(np.int64)
+    while True:
+        key = (rank + 1) * (n + 2)
+        key[: n - width] += rank[width:] + 1
+        order = np.argsort(key)
+        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        if new[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        width *= 2
+
+
+def suffix_array(t: np.ndarray, symbols: int, names: bool = False) -> np.ndarray:
     """Starts of the suffixes of ``t`` (integers in ``[0, symbols)``) in their order."""
     n = len(t)
     if n == 0:
@@ -187,6 +204,8 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     if n < SMALL:
         x = t.tolist()
         return np.array(sorted(range(n), key=lambda i: x[i:]), np.int64)
+    if names and n < BASE:
+        return _by_doubling(t)
     up = classify(t)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     scan = _Scan(t, up, symbols)
@@ -196,11 +215,11 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = rough[is_lms[rough]]
-        names = _names(t, order, lms)
-        if names[-1] + 1 < len(lms):
-            reduced = np.empty(n, np.int64)
-            reduced[order] = names
-            order = lms[suffix_array(reduced[lms], int(names[-1]) + 1)]
+        named = _names(t, order, lms)
+        if named[-1] + 1 < len(lms):
+            reduced = np.empty(n, np.int32 if n < 2**31 else np.int64)
+            reduced[order] = named
+            order = lms[suffix_array(reduced[lms], int(named[-1]) + 1, True)]
     else:
         order = lms
     return scan.downward(*scan.upward(order))
