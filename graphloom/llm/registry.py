@@ -1,6 +1,6 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-from graphloom.llm import epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, warc
+from graphloom.llm import epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_substring_dedup": phrases.op3_substring_dedup,
         "op4_ngram_jaccard_join": forest.op4_ngram_jaccard_join,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_tool_call_linking": toolcalls.op6_tool_call_linking,
         "op7_embedding_near_dedup": epsilon_grid.op7_embedding_near_dedup,
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
