@@ -131,7 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     strata = docs.select(key["source"].alias("source"), key["lang"].alias("lang"), topic(text).alias("topic"), tokens(text).alias("tokens"))
     cells = cut(strata.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mixing-cells")
     fit = rake(cells, **options)
-    ratio = fit.cells.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), (F.col("target_share") / F.col("share")).alias("__r"))
+    ratio = fit.cells.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.try_divide("target_share", "share").alias("__r"))
     marked = docs.withColumn("topic", topic(text)).withColumn("mix_tokens", tokens(text)).withColumn("__draw", draw)
     joined = marked.join(ratio, (key["source"] == F.col("__s")) & (key["lang"] == F.col("__l")) & (F.col("topic") == F.col("__t")), "left")
     weight = F.when(F.col("mix_tokens") > 0, F.coalesce("__r", F.lit(0.0))).otherwise(F.lit(0.0))

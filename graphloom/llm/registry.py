@@ -1,5 +1,6 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
+import corpus_pipeline
 from graphloom.llm import epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
 
 
@@ -14,6 +15,7 @@ def queries():
         "op7_embedding_near_dedup": epsilon_grid.op7_embedding_near_dedup,
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
