@@ -1,7 +1,7 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
 import corpus_pipeline
-from graphloom.llm import epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
+from graphloom.llm import bm25, epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op7_embedding_near_dedup": epsilon_grid.op7_embedding_near_dedup,
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
+        "op10_bm25_topk": bm25.op10_bm25_topk,
         "pipeline": corpus_pipeline.run,
     }
 
