@@ -41,3 +41,12 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its lineage cut by a written table, so that a lost executor costs a read and not a recomputation."""
     return written(df, name)[0]
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written once in the shared folder, bucketed by a column, so that later groups and joins on it move none of its rows."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    df.repartition(n, column).write.format("parquet").option("path", shared_path(spark, name)).bucketBy(n, column).saveAsTable(table)
+    return spark.table(table)
