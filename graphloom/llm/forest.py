@@ -290,7 +290,8 @@ def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
         return pa.table(dict(zip(("node", "node2", "root", "links"), parts, strict=True)))
 
     wanted = planned.select(F.col("rep").alias("id"), "h1", "h2", "copies", "component", "blocks", "block")
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select(source["text"], *(wanted[c] for c in ("h1", "h2", "copies", "component", "blocks", "block")))
+    # a sort-merge join whatever the size of ``wanted``, so that cost grows in proportion
+    texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(wanted["id"])).select(source["text"], *(wanted[c] for c in ("h1", "h2", "copies", "component", "blocks", "block")))
     filled = texts.mapInArrow(shingles, "h1 long, h2 long, copies long, component long, blocks int, block int, shingles binary")
     spread = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     cells = spread.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks)))
