@@ -5,7 +5,8 @@ when their units are equal. Of every window the ``anchor`` is its least ``k``-un
 windows have equal anchors. A segment is a maximal run of windows with the same anchor place: a few dozen windows at most,
 whatever the text. The steps are
 
-1. whole documents are packed into blocks of a few MB (one row each), written in the shared folder;
+1. whole documents are packed into blocks of a few MB (one row each), written in the shared folder and bucketed by block, so
+   that answers come to the documents and no step after moves them;
 2. each block sends its distinct anchors, cut to a few bytes, to the anchor's shard, which answers with one bit per anchor:
    whether windows around it can match anything (another block has it, or the block itself holds it twice);
 3. each block sends the distinct segments around such anchors with their first place in the block to the anchor's shard, and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.sources.tables import written
+from graphloom.sources.tables import bucketed, written
 
 BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20  # of corpus text for each shard of anchors
@@ -39,6 +40,7 @@ FINE = 4  # shards of segments in each of these
 CHUNK = 1 << 15  # units handled at a time, so that the arrays stay in cache
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+LEVEL = 3  # of zstd, for what is written
 NEVER = np.iinfo(np.int64).max
 
 
@@ -123,7 +125,7 @@ def segments(h: np.ndarray, counts: np.ndarray, length: int, k: int) -> tuple[np
 
 def _pack(ids: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         seq, base = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             sizes = np.nan_to_num(np.array(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), float))
@@ -186,7 +188,7 @@ def _block_anchors(kind: Kind, docs: pa.RecordBatch, ids: str, text: str, shards
 
 
 def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def _open(raw: bytes) -> bytes:
@@ -212,10 +214,11 @@ def _arrow(ddl: str) -> pa.Schema:
 def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.StructType, id_col: str, text_col: str, name: str) -> DataFrame:
     """``finish(docs batch, texts, unit counts, removed units)`` makes the result rows of a block. A row with a null id keeps all
     and makes no other row lose anything; rows with equal ids are not earlier than one another."""
-    blocks, _ = written(docs.mapInArrow(_pack(id_col, text_col), BLOCK_TYPE), f"{name}-blocks")
+    blocks = bucketed(docs.mapInArrow(_pack(id_col, text_col), BLOCK_TYPE), f"{name}-blocks", "block")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     shards = max(8, math.ceil(total / SHARD_BYTES))
-    width = min(8, math.ceil((math.log2(total + 2) + 10 - math.log2(shards)) / 8))
+    # a cut anchor equals another one's for about one in 4,000 (there is one anchor for some 18 bytes); that costs a needless segment
+    width = min(8, math.ceil((math.log2(total + 2) + 8 - math.log2(shards)) / 8))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow(ANCHOR_TYPE)
