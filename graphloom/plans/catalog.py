@@ -100,6 +100,15 @@ def class_rows(s: SparkSession) -> DataFrame:
     return files.flatten_schema(s.createDataFrame([(1, CLASSES)], "gid long, value string"))
 
 
+def decode_messages(s, d):
+    """Message lines with faults by the key of their customer, decoded."""
+    key = F.col("c_custkey")
+    good = F.format_string('{"gid": %d, "host": "h", "data": [{"label": "Customer", "name": "%s"}, {"label": "Nation"}]}', key % 3, F.col("c_name"))
+    line = F.when(key % 4 == 1, F.expr("substring(c_name, 1, 3)")).when(key % 4 == 2, F.format_string('{"host": "h", "data": ["%s"]}', "c_name")).when(key % 4 == 3, F.format_string('{"gid": %d, "data": []}', key)).otherwise(good)
+    rows = files.decode_messages(s.read.parquet(f"{d}/customer.parquet").select(line.alias("value")))
+    return rows.groupBy("gid", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("data"), F.lit(0))).cast("long").alias("entities"))
+
+
 def flatten_schema(s, d):
     """Labels of the graph that the class schema knows, with the schema's rows."""
     used = warehouse.nodes(s, d).select(F.explode("labels").alias("class")).groupBy("class").count()
@@ -301,6 +310,7 @@ def queries():
         "reach_in_k": reach,
         "node_degree": lambda s, d: algebra.node_degree(warehouse.nodes(s, d), warehouse.edges(s, d)),
         "list_graph": lambda s, d: algebra.list_graph(*g(s, d))[1],
+        "decode_messages": decode_messages,
         "flatten_schema": flatten_schema,
         "entity_nodes": entity_nodes,
         "entity_edges": entity_edges,

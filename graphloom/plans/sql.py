@@ -110,6 +110,8 @@ JOIN deg s ON s.node = e.src JOIN deg t ON t.node = e.dst JOIN (SELECT least(src
 FROM (SELECT s_suppkey * 8 + 3 AS a, (s_suppkey % 5) * 8 AS b FROM supplier) p""").replace("pats AS", "both1(a, b) AS (SELECT src, dst FROM edges WHERE type IN ('IN_NATION', 'IN_REGION') UNION SELECT dst, src FROM edges WHERE type IN ('IN_NATION', 'IN_REGION')),\npats AS"),
     "node_degree": _q("SELECT n.id, coalesce(o.d, 0) AS out, coalesce(i.d, 0) AS \"in\", coalesce(o.d, 0) + coalesce(i.d, 0) AS bi FROM nodes n LEFT JOIN (SELECT src, count(*) AS d FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY dst) i ON i.dst = n.id"),
     "list_graph": _q("SELECT DISTINCT src, type, dst FROM edges"),
+    "decode_messages": """SELECT CASE c_custkey % 4 WHEN 0 THEN c_custkey % 3 WHEN 3 THEN c_custkey END AS gid, CASE c_custkey % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' END AS reason,
+  count(*) AS n, CAST(sum(CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS entities FROM customer GROUP BY 1, 2""",
     "flatten_schema": _q(f"SELECT CAST(1 AS BIGINT) AS gid, v.class, v.kind, v.prop, v.domain, v.range, c.n FROM {_CLASSES} JOIN (SELECT l, count(*) AS n FROM (SELECT unnest(labels) AS l FROM nodes) GROUP BY l) c ON c.l = v.class"),
     "entity_nodes": _q("SELECT msg_id, CAST(1 AS BIGINT) AS ordinal, 'Customer' AS label, name, CAST(3 AS BIGINT) AS n_props FROM q UNION ALL SELECT msg_id, 2, 'Nation', nation, 1 FROM q"),
     "entity_edges": _q("SELECT msg_id, name AS src, 'IN_NATION' AS type, nation AS dst FROM q"),
