@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import passages, phrases
+from graphloom.llm.batches import small_batches
 from graphloom.operators.components import connected_components
 from graphloom.sources.tables import cut
 
@@ -172,7 +173,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of other characters than space and U+0009 to U+000D, unchanged. A text without words (or null) links with nothing.
     A null id takes part, but is never a class id unless no other id is in the class.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     depth = depth_for(recall, threshold, trees)
     span = 1 + 2 * depth
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.batches import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -159,6 +161,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
 
     ``und`` with score 0 where the text is null or has no letters, and everywhere when nothing was learned.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(pred_col, score_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     letters, names = "__has_letters", kept.columns

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.batches import small_batches
 from graphloom.sources.tables import bucketed, written
 
 BLOCK_BYTES = 2 << 20
@@ -214,6 +215,7 @@ def _arrow(ddl: str) -> pa.Schema:
 def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.StructType, id_col: str, text_col: str, name: str) -> DataFrame:
     """``finish(docs batch, texts, unit counts, removed units)`` makes the result rows of a block. A row with a null id keeps all
     and makes no other row lose anything; rows with equal ids are not earlier than one another."""
+    small_batches(docs.sparkSession)
     blocks = bucketed(docs.mapInArrow(_pack(id_col, text_col), BLOCK_TYPE), f"{name}-blocks", "block")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     shards = max(8, math.ceil(total / SHARD_BYTES))
