@@ -103,15 +103,14 @@ def join_blocks(u: np.ndarray, v: np.ndarray, weight_u: np.ndarray, weight_v: np
         base = 0 if same else n
         links[base + b.start : base + b.stop] += near.T @ weight_u[a]
         i, j = np.nonzero(near)
-        i, j = root[i + a.start], root[j + base + b.start]
-        while (i != j).any():  # join the groups of both ends
-            low = np.minimum(i, j)
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
-            i, j = root[i], root[j]
-    while (root[root] != root).any():
-        root = root[root]
+        i, j = i + a.start, j + base + b.start
+        while (root[i] != root[j]).any():  # join the groups of both ends; ``root`` is fully compressed, so only true roots get a parent
+            x, y = root[i], root[j]
+            low = np.minimum(x, y)
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            while (root[root] != root).any():
+                root = root[root]
     return links, root
 
 

@@ -34,6 +34,26 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows)))
 
 
+def check_roots(n, links):
+    """Vectors of whose pairs just the given ones are near; the boxes drop nothing."""
+    gram = np.eye(n)
+    for i, j in links:
+        gram[i, j] = gram[j, i] = 0.2
+    x, one = np.linalg.cholesky(gram), np.ones(n, np.int64)
+    got, root = grid.join_blocks(x, x, one, one, np.zeros((n, 1)), 0.1, True)
+    want = brute.components(range(n), links)
+    assert got[:n].sum() == 2 * len(links)
+    assert all((root[i] == root[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+
+
+def test_groups_over_many_leaves(monkeypatch):
+    monkeypatch.setattr(grid, "LEAF", 4)
+    check_roots(12, [(2, 4), (3, 8), (3, 9), (1, 10), (0, 11), (4, 9), (4, 10), (8, 11)])
+    for seed in range(20):
+        order = np.random.default_rng(seed).permutation(80)
+        check_roots(80, [(int(a), int(b)) for a, b in zip(order[:-1], order[1:], strict=True)])
+
+
 def test_empty_and_useless_tables(spark):
     schema = "vec_id long, embedding array<double>, n_links string"
     assert grid.near_pairs(spark.createDataFrame([], schema)).count() == 0
