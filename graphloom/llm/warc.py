@@ -25,13 +25,13 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 BLOCK_BYTES = 4 << 20
 BLOCKS_PER_FILE = 8
-MAX_HEADER_BYTES = 64 << 10
 MAX_RECORD_BYTES = 512 << 20
 FEED = 64 << 10
+WINDOW = 32 << 20
 
 RECORD_SCHEMA = (
     "path string, start long, end long, kind string, reason string, record_id string, record_type string, target_uri string, "
-    "refers_to string, payload_digest string, payload_bytes long, payload binary"
+    "refers_to string, payload_digest string, payload_bytes long, payload binary, inner_start long, inner_end long"
 )
 
 
@@ -94,7 +94,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 class Bad(Exception):
-    """A failed check; its text is the reason logged for the gap."""
+    """A failed check; its text is the reason logged for the gap. ``need``: the bytes from the record's start that could pass it."""
+
+    def __init__(self, reason: str, need: int = 0):
+        super().__init__(reason)
+        self.need = need
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -112,8 +116,10 @@ def parse_record(data: bytes, at: int, end: int) -> tuple[dict, int]:
     if data[at : at + len(VERSION_STEM)] != VERSION_STEM:
         raise Bad("no version line")
     line_end = data.find(b"\r\n", at, at + 32)
-    head_end = data.find(b"\r\n\r\n", at, min(end, at + MAX_HEADER_BYTES))
-    if line_end < 0 or head_end < 0 or head_end <= line_end:
+    head_end = data.find(b"\r\n\r\n", at, end)
+    if head_end < 0:
+        raise Bad("unterminated header", end - at + 1)
+    if line_end < 0 or head_end <= line_end:
         raise Bad("unterminated header")
     head = _headers(data[line_end + 2 : head_end])
     length = head.get("content-length", "")
@@ -121,7 +127,7 @@ def parse_record(data: bytes, at: int, end: int) -> tuple[dict, int]:
         raise Bad("bad content length")
     start, stop = head_end + 4, head_end + 4 + int(length)
     if stop + 4 > end or data[stop : stop + 4] != b"\r\n\r\n":
-        raise Bad("block does not end where its length says")
+        raise Bad("block does not end where its length says", stop + 4 - at)
     block = data[start:stop]
     told = head.get("warc-block-digest", "")
     if told.lower().startswith("sha1:") and told[5:].upper() != digest(block):
@@ -146,58 +152,159 @@ def parse_record(data: bytes, at: int, end: int) -> tuple[dict, int]:
     return {"record_id": bare(head["warc-record-id"]), "record_type": kind, "target_uri": head.get("warc-target-uri"), "refers_to": bare(head.get("warc-refers-to")), "payload_digest": told, "payload_bytes": size, "payload": None if kind == "revisit" else payload}, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and where it ends; fed in small pieces, so no tail of the file is copied."""
-    inflate, parts, size, view, pos = zlib.decompressobj(31), [], 0, memoryview(data), at
+def _before_fault(inflate, piece: memoryview) -> bytes:
+    """What a piece that does not decompress gives before the fault."""
+    parts = []
     try:
-        while not inflate.eof:
-            if pos >= len(data):
-                raise Bad("truncated member")
-            piece = inflate.decompress(view[pos : pos + FEED], MAX_RECORD_BYTES - size + 1)
-            size += len(piece)
-            if size > MAX_RECORD_BYTES:
-                raise Bad("member too large")
-            parts.append(piece)
-            pos += FEED
+        for i in range(len(piece)):
+            parts.append(inflate.decompress(piece[i : i + 1]))
     except zlib.error:
-        raise Bad("member does not decompress") from None
-    return b"".join(parts), min(pos, len(data)) - len(inflate.unused_data)
+        pass
+    return b"".join(parts)
+
+
+def _walk(data: bytes, at: int) -> Iterator[tuple[str, int, int, dict]]:
+    """Records and gaps ``(kind, start, end, fields)`` of what the gzip member at ``at`` holds, by inner offset, and a last item ``end`` with
+    the number of inner bytes, where the member ends in the file, and the fault that ended it, if any (then no gap stands last).
+
+    The member is fed in small pieces and parsed by windows that grow to hold a record of up to ``MAX_RECORD_BYTES``.
+    """
+    inflate, view, pos, done, fault = zlib.decompressobj(31), memoryview(data), at, False, None
+    buf, base, gap, why = b"", 0, None, ""
+    while True:
+        parts, size, want = [buf], len(buf), max(WINDOW, 2 * len(buf))
+        while size < want and not done:
+            piece = view[pos : pos + FEED]
+            before = inflate.copy() if pos > at else None
+            try:
+                part = inflate.decompress(piece)
+                fault = None if len(piece) or inflate.eof else "truncated member"
+            except zlib.error:
+                part, fault = _before_fault(before or zlib.decompressobj(31), piece), "member does not decompress"
+            pos += len(piece)
+            done = inflate.eof or fault is not None
+            parts.append(part)
+            size += len(part)
+        buf, i = b"".join(parts), 0
+        while i < len(buf):
+            if gap is None and buf[i] in b"\x00\r\n":
+                i += 1
+                continue
+            if not done and len(buf) - i < len(VERSION_STEM):
+                break
+            try:
+                fields, stop = parse_record(buf, i, len(buf))
+            except Bad as e:
+                if not done and len(buf) - i < e.need <= MAX_RECORD_BYTES:
+                    break
+                if gap is None:
+                    gap, why = base + i, str(e)
+                ahead = buf.find(VERSION_STEM, i + 1)
+                i = ahead if ahead >= 0 else len(buf) if done else max(i + 1, len(buf) - len(VERSION_STEM) + 1)
+                continue
+            if gap is not None:
+                yield "gap", gap, base + i, {"reason": why}
+                gap = None
+            yield "record", base + i, base + stop, fields
+            i = stop
+        base, buf = base + i, buf[i:]
+        if done:
+            break
+    if gap is not None and fault is None:
+        yield "gap", gap, base, {"reason": why}
+    yield "end", base, pos - len(inflate.unused_data), {"reason": fault}
+
+
+def _reach(data: bytes, at: int, size: int) -> int:
+    """Where in the file the member at ``at`` has given ``size`` bytes."""
+    inflate, out, view, pos, step = zlib.decompressobj(31), 0, memoryview(data), at, FEED
+    while out < size:
+        before = inflate.copy() if pos > at else zlib.decompressobj(31)
+        try:
+            n = len(inflate.decompress(view[pos : pos + step]))
+        except zlib.error:
+            n = size
+        if step > 1 and out + n >= size:
+            inflate, step = before, step // 16
+            continue
+        out, pos = out + n, pos + step
+    return min(pos, len(data))
+
+
+def _member(data: bytes, at: int) -> tuple[Iterator[tuple[str, int, int, dict]], int | None, str | None]:
+    """Records and gaps of the gzip member at ``at`` (none if it has no record), where they end in the file (None: unknown), and the fault.
+
+    Of a member that is cut or fails its own check, the records with valid checks of their own are kept, up to where the last one
+    ends. Only a member that holds one record and nothing else stands or falls with its own check. Records beyond ``WINDOW``
+    bytes are not held but parsed again.
+    """
+    items, size, solid, records, single, why, end = [], 0, 0, 0, None, "empty member", at
+    for item in _walk(data, at):
+        kind, start, stop, fields = item
+        if kind == "end":
+            total, end, fault = start, stop, fields["reason"]
+            continue
+        if kind == "record":
+            solid, records, single = stop, records + 1, (start, stop)
+        elif not records and size == 0:
+            why = fields["reason"]
+        size += stop - start
+        if items is not None:
+            items.append(item)
+            if size > WINDOW:
+                items = None
+    if fault is not None and records == 1 and single == (0, total):
+        records = 0
+    if not records:
+        return iter(()), end if fault is None else None, fault or why
+    if items is None:
+        items = (x for x in _walk(data, at) if x[0] != "end")
+    if fault is not None:
+        end = _reach(data, at, solid)
+        borrowed = data.find(GZIP_MAGIC, max(at + 1, end - 8), end + 2)  # a cut record may end with bits of the next member's head
+        end = min(end, borrowed) if borrowed >= 0 else end
+    return iter(items), end, fault
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict]]:
     """Items ``(kind, start, end, fields)`` in file order: ``record`` or ``gap``. Gaps are the byte ranges that no valid record
     covers, but for zero padding between members and blank lines between plain records. After a failed check the search goes on at
-    the next gzip magic or version line behind the failed start, so a false start costs no later record."""
+    the next gzip magic or version line behind the failed start, so a false start costs no later record.
+
+    Inside a gzip member the same search runs over the decompressed bytes: its records and gaps have the member's range and, as
+    ``inner_start`` and ``inner_end``, that of the decompressed bytes. A member that is cut or fails its check ends with its last valid
+    record; a gap follows (empty if another start does at once)."""
     pos, gap, why, n = 0, None, "", len(data)
     while pos < n:
         if gap is None and data[pos] in b"\x00\r\n":
             pos += 1
             continue
-        found = []
-        try:
-            if data[pos : pos + 3] == GZIP_MAGIC:
-                inner, stop = _member(data, pos)
-                at = 0
-                while at < len(inner):
-                    fields, at = parse_record(inner, at, len(inner))
-                    found.append(fields)
-                if not found:
-                    raise Bad("empty member")
-            else:
+        if data[pos : pos + 3] == GZIP_MAGIC:
+            items, stop, fault = _member(data, pos)
+        else:
+            try:
                 fields, stop = parse_record(data, pos, n)
-                found.append(fields)
-        except Bad as e:
-            if gap is None:
-                gap, why = pos, str(e)
-            ahead = [x for x in (data.find(GZIP_MAGIC, pos + 1), data.find(VERSION_STEM, pos + 1)) if x >= 0]
-            pos = min(ahead, default=n)
+                items, fault = iter([("record", None, None, fields)]), None
+            except Bad as e:
+                items, stop, fault = iter(()), None, str(e)
+        some = False
+        for kind, start, end, fields in items:
+            if gap is not None:
+                yield "gap", gap, pos, {"reason": why}
+                gap = None
+            some = True
+            yield kind, pos, stop, fields | {"inner_start": start, "inner_end": end}
+        if fault is None:
+            pos = stop
             continue
-        if gap is not None:
-            yield "gap", gap, pos, {"reason": why}
-            gap = None
-        for fields in found:
-            yield "record", pos, stop, fields
-        pos = stop
+        if gap is None:
+            gap, why = (stop if some else pos), fault
+        if some or stop is None:
+            first = stop if some else pos + 1
+            ahead = [x for x in (data.find(GZIP_MAGIC, first), data.find(VERSION_STEM, first)) if x >= 0]
+            pos = min(ahead, default=n)
+        else:
+            pos = stop
     if gap is not None:
         yield "gap", gap, n, {"reason": why}
 
@@ -205,7 +312,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict]]:
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True, glob: str = "*") -> DataFrame:
     """All records of the archives under ``path``, and a row of kind ``gap`` for every quarantined byte range.
 
-    Empty files give no rows. ``start`` and ``end`` are byte offsets in the file (of the member, for gzip).
+    Empty files give no rows. ``start`` and ``end`` are byte offsets in the file (of the member, for gzip);
+    ``inner_start`` and ``inner_end`` those in the member's decompressed bytes.
     """
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from graphloom.llm import warc
 
 
@@ -74,6 +76,42 @@ def test_random_cuts_never_lose_later_records():
         covered(items, data)
 
 
+def noise(i):
+    return random.Random(i).randbytes(900)
+
+
+@pytest.mark.parametrize("window", [64, 32 << 20])
+@pytest.mark.parametrize("level", [0, 4])
+def test_members_of_many_records(monkeypatch, window, level):
+    monkeypatch.setattr(warc, "WINDOW", window, raising=False)
+    parts = [record(i, noise(i)) for i in range(200)]
+    names = [f"urn:page:{i}" for i in range(200)]
+    parts[7] = parts[7].replace(noise(7), noise(7)[::-1])
+    whole, tail = warc.gzip_member(b"".join(parts), level), warc.gzip_member(record(500))
+    items = list(warc.salvage(whole + tail))
+    assert ids(items) == names[:7] + names[8:] + ["urn:page:500"]
+    gaps = [x for x in items if x[0] == "gap"]
+    start = sum(map(len, parts[:7]))
+    assert [(s, e, f["inner_start"], f["inner_end"]) for _, s, e, f in gaps] == [(0, len(whole), start, start + len(parts[7]))]
+    cut = list(warc.salvage(whole[: len(whole) // 2] + tail))
+    found = ids(cut)
+    assert len(found) > 90 and found == [x for x in names if x != names[7]][: len(found) - 1] + ["urn:page:500"]
+    assert cut[-2][0] == "gap" and cut[-2][1] == cut[0][2] and cut[-2][2] == len(whole) // 2
+    bad_sum = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(warc.salvage(bad_sum + tail)) == names[:7] + names[8:] + ["urn:page:500"]
+
+
+def test_long_records_and_headers(monkeypatch):
+    monkeypatch.setattr(warc, "WINDOW", 1000, raising=False)
+    url = "http://x/" + "y" * 200_000
+    long = warc.record_bytes("urn:page:1", "response", url, b"hello", sha1(b"hello"), None, "2020-01-01T00:00:00Z")
+    for data in (long + record(2), warc.gzip_member(long) + warc.gzip_member(record(2)), warc.gzip_member(long + record(2))):
+        items = list(warc.salvage(data))
+        assert ids(items) == ["urn:page:1", "urn:page:2"] and items[0][3]["target_uri"] == url
+    monkeypatch.setattr(warc, "MAX_RECORD_BYTES", 50_000)
+    assert ids(warc.salvage(warc.gzip_member(b"".join(record(i, noise(i)) for i in range(100))))) == [f"urn:page:{i}" for i in range(100)]
+
+
 def test_round_trip_of_pages(spark, tmp_path):
     rows = [(1, "http://a/é", "same"), (2, "u", "same"), (3, None, None), (4, "u", ""), (5, "u", "é" * 10), (None, "u", "same"), (2, "u", "same"), (None, "u", "lonely"), (6, "u", "x" * 300_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
