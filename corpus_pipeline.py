@@ -41,8 +41,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a round trip back to its text."""
-    return sentencepiece_backend.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip")
+    """Token ids of each document, their parity with the reference library's, and a round trip back to its text."""
+    return sentencepiece_backend.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "token_ids", "parity", "round_trip")
 
 
 STAGES = [

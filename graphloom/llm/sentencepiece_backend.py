@@ -123,11 +123,11 @@ def _local(path: str, shipped: bool) -> str:
     return SparkFiles.get(os.path.basename(path)) if shipped else path
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens", parity_col: str = "parity", trip_col: str = "round_trip", check_one_in: int = 16, ship: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens", parity_col: str = "parity", trip_col: str = "round_trip", check_one_in: int = 1, ship: bool = False) -> DataFrame:
     """``docs`` with token ids, their number, parity and round trip; columns already so named are replaced.
 
-    ``parity``: whether the ids equal the reference library's, compared for one text in ``check_one_in`` by position in its
-    batch (null for the others). ``round_trip``: whether decoding gives back the text. A null text has null in all four, an
+    ``parity``: whether the ids equal the reference library's, compared for every text, or one in ``check_one_in`` by position
+    in its batch (null for the others). ``round_trip``: whether decoding gives back the text. A null text has null in all four, an
     empty one no ids. ``model_path`` is a path that every worker sees; with ``ship`` the driver's file is sent to them.
     """
     small_batches(docs.sparkSession)
@@ -180,4 +180,4 @@ def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "t
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", F.coalesce("parity", F.lit(True)).alias("parity"), "round_trip")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "parity", "round_trip")

@@ -48,6 +48,14 @@ def test_table(spark):
     assert sp.encode(docs.limit(0)).count() == 0
 
 
+def test_every_text_is_compared(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(40)] + [(99, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for got in (sp.encode(docs), sp.op8_sentencepiece(spark, str(tmp_path))):
+        assert {r.doc_id: r.parity for r in got.collect()} == dict.fromkeys(range(40), True) | {99: None}
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as proto
 
