@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import passages, phrases
-from graphloom.llm.batches import small_batches
+from graphloom.llm.batches import small_batches, trimmed, trimmed_batches
 from graphloom.operators.components import connected_components
 from graphloom.sources.tables import cut
 
@@ -194,7 +194,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), pa.array(h1), pa.array(h2), pa.array(counts), lists], ["id", "h1", "h2", "n", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(source.mapInArrow(sign, "id long, h1 long, h2 long, n long, keys array<binary>"), "forest-signatures")
+    signed = cut(source.mapInArrow(trimmed_batches(sign), "id long, h1 long, h2 long, n long, keys array<binary>"), "forest-signatures")
     sets = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "forest-sets")
     candidates = connected_components(_trie_edges(sets.select(F.explode("keys").alias("key"), F.col("h1").alias("node")), span), name="forest-candidates")
     links = cut(_verify(source, sets.drop("keys"), candidates, threshold, size), "forest-links")
@@ -239,7 +239,7 @@ def _trie_edges(rows: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for _, x in ends]), pa.array([x for _, x in ends]), pa.array([k for k, _ in ends], pa.binary())], ["src", "dst", "edge"])
 
     # the node is part of the range key, so a trie node that holds a third of all sets spans partitions
-    stars = cut(rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(runs, "src long, dst long, edge binary"), "forest-stars")
+    stars = cut(rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(runs), "src long, dst long, edge binary"), "forest-stars")
     rims = stars.where("edge is not null").select("src", "edge")
     across = rims.join(rims.groupBy("edge").agg(F.min("src").alias("dst")), "edge").select("src", "dst")
     return stars.where("edge is null").select("src", "dst").unionByName(across).where("src <> dst").distinct()
@@ -293,10 +293,10 @@ def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
     wanted = planned.select(F.col("rep").alias("id"), "h1", "h2", "copies", "component", "blocks", "block")
     # a sort-merge join whatever the size of ``wanted``, so that cost grows in proportion
     texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(wanted["id"])).select(source["text"], *(wanted[c] for c in ("h1", "h2", "copies", "component", "blocks", "block")))
-    filled = texts.mapInArrow(shingles, "h1 long, h2 long, copies long, component long, blocks int, block int, shingles binary")
+    filled = texts.mapInArrow(trimmed_batches(shingles), "h1 long, h2 long, copies long, component long, blocks int, block int, shingles binary")
     spread = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     cells = spread.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks)))
-    return cells.groupBy("task").applyInArrow(compare, "node long, node2 long, root long, links long")
+    return cells.groupBy("task").applyInArrow(trimmed(compare), "node long, node2 long, root long, links long")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import small_batches
+from graphloom.llm.batches import small_batches, trimmed_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, pred_col, score_col])
 
-    return kept.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return kept.withColumn(letters, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(trimmed_batches(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

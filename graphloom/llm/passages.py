@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import small_batches
+from graphloom.llm.batches import small_batches, trimmed, trimmed_batches, trimmed_pair
 from graphloom.sources.tables import bucketed, written
 
 BLOCK_BYTES = 2 << 20
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.Stru
     """``finish(docs batch, texts, unit counts, removed units)`` makes the result rows of a block. A row with a null id keeps all
     and makes no other row lose anything; rows with equal ids are not earlier than one another."""
     small_batches(docs.sparkSession)
-    blocks = bucketed(docs.mapInArrow(_pack(id_col, text_col), BLOCK_TYPE), f"{name}-blocks", "block")
+    blocks = bucketed(docs.mapInArrow(trimmed_batches(_pack(id_col, text_col)), BLOCK_TYPE), f"{name}-blocks", "block")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     shards = max(8, math.ceil(total / SHARD_BYTES))
     # a cut anchor equals another one's for about one in 4,000 (there is one anchor for some 18 bytes); that costs a needless segment
@@ -349,8 +349,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, finish: Callable, result: T.Stru
             parts.append(finish(docs_, texts, counts, gone))
         return pa.Table.from_batches(parts).select(names)
 
-    shared = blocks.select("block", "docs").mapInArrow(anchors, ANCHOR_TYPE).groupBy("shard").applyInArrow(bits, BIT_TYPE)
-    sent, _ = written(blocks.select("block", "docs").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(sends, SEGMENT_TYPE), f"{name}-segments")
-    told = sent.where("kind = 0").groupBy("shard").applyInArrow(answers, NOTE_TYPE)
+    shared = blocks.select("block", "docs").mapInArrow(trimmed_batches(anchors), ANCHOR_TYPE).groupBy("shard").applyInArrow(trimmed(bits), BIT_TYPE)
+    sent, _ = written(blocks.select("block", "docs").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(trimmed_pair(sends), SEGMENT_TYPE), f"{name}-segments")
+    told = sent.where("kind = 0").groupBy("shard").applyInArrow(trimmed(answers), NOTE_TYPE)
     kept = sent.where("kind = 1").select("block", "kind", "shard", F.col("lens").alias("a"), F.col("docs").alias("b"), F.col("starts").alias("c"), F.lit(None).cast("binary").alias("d"))
-    return blocks.select("block", "docs").groupBy("block").cogroup(told.unionByName(kept).groupBy("block")).applyInArrow(removes, result)
+    return blocks.select("block", "docs").groupBy("block").cogroup(told.unionByName(kept).groupBy("block")).applyInArrow(trimmed_pair(removes), result)

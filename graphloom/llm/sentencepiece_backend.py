@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import small_batches
+from graphloom.llm.batches import small_batches, trimmed_batches
 
 # Fixed values of the SentencePiece format.
 METASPACE = "▁"
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(sizes, pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed_batches(run), schema)
 
 
 def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "token_ids", text_col: str = "decoded", ship: bool = False) -> DataFrame:
@@ -176,7 +176,7 @@ def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "t
             texts = [None if x is None else tool.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed_batches(run), schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

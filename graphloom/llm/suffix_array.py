@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from graphloom.llm import passages
 
 SMALL = 48  # below this a text is sorted by comparing
+COMPARED = 1 << 17  # places compared at a time
 BASE = 1 << 19  # below this a text of names is sorted by doubling prefixes, which ends the recursion
 
 
@@ -232,10 +233,11 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     a running maximum gives the others. Symbols are compared eight bytes at a time.
     """
     n = len(t)
-    before = np.empty(n, np.int64)
+    kind = np.int32 if n < 2**30 else np.int64
+    before = np.empty(n, kind)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
-    at = np.arange(n)
+    at = np.arange(n, dtype=kind)
     own = (before < 0) | (before == 0) | (at == 0)
     inner = np.flatnonzero(~own)
     own[inner] = t[inner - 1] != t[before[inner] - 1]
@@ -244,18 +246,24 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     per = 8 // size
     raw = t.tobytes() + b"\0" * 16
     words = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,))
-    value = np.zeros(n, np.int64)
-    a, b, live = irreducible.copy(), before[irreducible], irreducible
-    while len(live):
-        differ = words[a * size] ^ words[b * size]
-        low = differ & (~differ + np.uint64(1))
-        bits = np.where(differ == 0, 64, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64))
-        value[live] += np.minimum(bits // (8 * size), n - np.maximum(a, b))
-        on = (differ == 0) & (np.maximum(a, b) + per < n)
-        a, b, live = a[on] + per, b[on] + per, live[on]
-    sums = np.full(n, -1, np.int64)
-    sums[irreducible] = value[irreducible] + irreducible
-    return np.maximum(np.maximum.accumulate(sums) - at, 0) * (before >= 0)
+    sums = np.full(n, -1, kind)  # value plus place
+    for lo in range(0, len(irreducible), COMPARED):
+        some = irreducible[lo : lo + COMPARED]
+        value = np.zeros(len(some), np.int64)
+        a, b, live = some, before[some].astype(np.int64), np.arange(len(some))
+        while len(live):
+            differ = words[a * size] ^ words[b * size]
+            low = differ & (~differ + np.uint64(1))
+            bits = np.where(differ == 0, 64, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64))
+            value[live] += np.minimum(bits // (8 * size), n - np.maximum(a, b))
+            on = (differ == 0) & (np.maximum(a, b) + per < n)
+            a, b, live = a[on] + per, b[on] + per, live[on]
+        sums[some] = value + some
+    np.maximum.accumulate(sums, out=sums)
+    sums -= at
+    np.maximum(sums, 0, out=sums)
+    sums[before < 0] = 0
+    return sums
 
 
 def first_places(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,15 +281,16 @@ def first_places(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
         t[np.cumsum(sizes + 1) - 1] = 256
     sa = suffix_array(t, symbols)
     common = permuted_common_prefixes(t, sa)[sa]
-    part = np.repeat(np.arange(len(parts)), sizes + 1)
-    inside = np.arange(len(t)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
-    whole = inside < windows[part]
-    place_doc = np.where(whole, doc[part], passages.NEVER)
-    groups = np.flatnonzero(np.concatenate([[True], common[1:] < length]))
+    common[0] = 0
+    groups = np.flatnonzero(common < length)
+    del common
+    # starts of windows are the first places of each part
+    whole = np.repeat(np.tile([True, False], len(parts)), np.stack([windows, sizes + 1 - windows], 1).ravel())
+    place_doc = np.full(len(t), passages.NEVER)
+    place_doc[whole] = np.repeat(doc, windows)
     least = np.minimum.reduceat(place_doc[sa], groups)
-    found = np.empty(len(t), np.int64)
-    found[sa] = np.repeat(least, np.diff(np.concatenate([groups, [len(t)]])))
-    return windows, found[whole], np.zeros(int(windows.sum()), np.int64)
+    place_doc[sa] = np.repeat(least, np.diff(np.concatenate([groups, [len(t)]])))
+    return windows, place_doc[whole], np.zeros(int(windows.sum()), np.int64)
 
 
 def _cut(joined: bytes, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
