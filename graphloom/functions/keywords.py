@@ -1,4 +1,4 @@
-"""A bag of keywords for each edge, from the labels, names and words of its ends."""
+"""A bag of keywords for each edge, from the labels, names and words of the properties of its ends."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +10,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
 
+def property_words(props: Column) -> Column:
+    """The distinct words of all text properties, and of the texts in lists."""
+    texts = F.flatten(F.transform(F.map_values(props), lambda v: F.when(v["kind"] == "list", F.transform(v["arr"], lambda x: x["str"])).otherwise(F.array(v["str"]))))
+    return F.array_distinct(words(F.array_join(texts, " ")))
+
+
 def edge_keywords(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(edge_id, keywords)``: the distinct labels, names and words of names of both ends, then the start's labels twice, both names once
-    and the words of both names once, blanks left out; sorted, as a bag has no order."""
-    ends = nodes.select("id", "labels", F.trim(F.col("props")["name"]["str"]).alias("name"))
-    src = ends.select(F.col("id").alias("src"), F.col("labels").alias("l1"), F.col("name").alias("n1"))
-    dst = ends.select(F.col("id").alias("dst"), F.col("labels").alias("l2"), F.col("name").alias("n2"))
+    """``(edge_id, keywords)``: once each the labels and names of both ends and the words of all their properties; then the start's labels
+    twice, both names once and the words of both names once. Blanks are left out; sorted, as a bag has no order."""
+    ends = nodes.select("id", "labels", F.trim(F.col("props")["name"]["str"]).alias("name"), property_words(F.col("props")).alias("words"))
+    side = lambda end, i: ends.select(F.col("id").alias(end), F.col("labels").alias(f"l{i}"), F.col("name").alias(f"n{i}"), F.col("words").alias(f"w{i}"))
     names = F.filter(F.array("n1", "n2"), lambda x: x.isNotNull() & (x != ""))
-    bag = F.concat("l1", "l2", names, words(F.col("n1")), words(F.col("n2")))
-    weighted = F.concat(F.array_distinct(bag), "l1", "l1", names, words(F.col("n1")), words(F.col("n2")))
-    return edges.join(src, "src").join(dst, "dst").select("edge_id", F.array_sort(weighted).alias("keywords"))
+    distinct = F.array_distinct(F.concat("l1", "l2", names, "w1", "w2"))
+    weighted = F.concat(distinct, "l1", "l1", names, words(F.col("n1")), words(F.col("n2")))
+    return edges.join(side("src", 1), "src").join(side("dst", 2), "dst").select("edge_id", F.array_sort(weighted).alias("keywords"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.sources.tables import drop_path, written
+from graphloom.sources.tables import written
 
 MAX_ITER = 200
 MAX_PAIRS = 10_000_000_000
@@ -16,26 +16,23 @@ def symmetric_closure(pairs: DataFrame) -> DataFrame:
 
 def transitive_closure(pairs: DataFrame, max_iter: int = MAX_ITER, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """All ``(a, b)`` with a path from a to b; ``(a, a)`` on cycles. Semi-naive with doubling: each round joins the newest paths
-    with all known ones, so the rounds are about the logarithm of the longest path. Rounds are written to the shared folder.
+    with all known ones, so the rounds are about the logarithm of the longest path. A round's new paths are written to the shared folder;
+    what is known is all these parts, and none is written twice.
     """
-    known, known_path = written(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    delta, delta_path = known, None
-    total = known.count()
+    known, path = written(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
+    delta, parts, total = known, [path], known.count()
     for _ in range(max_iter):
         ahead = delta.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
         behind = known.select("src", F.col("dst").alias("mid")).join(delta.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        fresh, fresh_path = written(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure-delta")
-        n = fresh.count()
+        delta, path = written(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure-delta")
+        n = delta.count()
         if n == 0:
             return known
         total += n
         if total > max_pairs:
             raise RuntimeError(f"the closure has more than {max_pairs} pairs")
-        grown, path = written(known.unionByName(fresh), "closure")
-        drop_path(known.sparkSession, known_path)
-        if delta_path:
-            drop_path(known.sparkSession, delta_path)
-        known, known_path, delta, delta_path = grown, path, fresh, fresh_path
+        parts.append(path)
+        known = delta.sparkSession.read.schema(delta.schema).parquet(*parts)
     raise RuntimeError(f"the closure did not settle in {max_iter} rounds")
 
 

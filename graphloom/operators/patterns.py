@@ -37,8 +37,10 @@ def enumerate_patterns(spark, rels: list[Rel], new_types: set[str] | None = None
 def prune_patterns(le: DataFrame, patterns: DataFrame) -> DataFrame:
     """``patterns`` with ``exists``, for all of them in one pass.
 
-    Edges are counted per (middle node, hop): as many rows as nodes and hops at most, never pairs of edges. A pattern exists at a node
-    unless each side has exactly one edge there and it is the same. Patterns come from configs, so they are few.
+    Edges are counted per (middle node, hop): as many rows as nodes and hops at most, never pairs of edges. A node's signature is the set
+    of its hops on either side, each with its edge where there is just one; signatures repeat, and only distinct ones meet the
+    patterns. A pattern exists at a node unless each side has exactly one edge there and it is the same. Patterns come from
+    configs, so they are few.
     """
     hop_id = lambda i: F.concat_ws(" ", *(F.col(f"{c}{i}").cast("string") for c in HOP))
     side = lambda i: patterns.select(*(F.col(f"{c}{i}").alias(c) for c in HOP), hop_id(i).alias("hop"), F.lit(i).alias("side")).distinct()
@@ -46,11 +48,17 @@ def prune_patterns(le: DataFrame, patterns: DataFrame) -> DataFrame:
     ends = F.array_contains("src_labels", F.col("start")) & F.array_contains("dst_labels", F.col("end"))
     near = F.when((F.col("side") == 1) == F.col("inverse"), F.col("src")).otherwise(F.col("dst"))
     met = le.join(hops, (le["type"] == hops["hop_type"]) & ends)
-    counts = met.groupBy("side", "hop", near.alias("mid")).agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("edge"))
+    counts = met.groupBy("side", "hop", near.alias("mid")).agg(F.when(F.count(F.lit(1)) == 1, F.min("edge_id")).alias("only"))
+    # an edge matters only where it is the single one of a hop on both sides of a node: as its place among these
+    hop = F.struct("side", "hop", "only")
+    nodes = counts.groupBy("mid").agg(F.array_sort(F.collect_set(hop)).alias("hops"))  # as many as there are hops
+    edges = F.array_sort(F.array_distinct(F.filter(F.transform("hops", lambda h: h["only"]), lambda e: e.isNotNull())))
+    signature = F.transform("hops", lambda h: F.struct(h["side"].alias("side"), h["hop"].alias("hop"), F.array_position(F.col("edges"), h["only"]).alias("only")))
+    seen = nodes.withColumn("edges", edges).select(signature.alias("hops")).distinct()
+    one = seen.select("hops", F.explode("hops").alias("a")).where("a.side = 1")
+    both = one.select("a", F.explode("hops").alias("b")).where("b.side = 2 and (a.only is null or b.only is null or a.only <> b.only)").select(F.col("a.hop").alias("hop1"), F.col("b.hop").alias("hop2")).distinct()
     tagged = patterns.select("pattern_id", hop_id(1).alias("hop1"), hop_id(2).alias("hop2"))
-    one = counts.where("side = 1").select(F.col("hop").alias("hop1"), "mid", F.col("n").alias("n1"), F.col("edge").alias("e1")).join(tagged, "hop1")
-    two = counts.where("side = 2").select(F.col("hop").alias("hop2"), "mid", F.col("n").alias("n2"), F.col("edge").alias("e2"))
-    found = one.join(two, ["hop2", "mid"]).where(distinct_edges("n1", "e1", "n2", "e2")).select("pattern_id").distinct()
+    found = tagged.join(both, ["hop1", "hop2"]).select("pattern_id").distinct()
     return patterns.join(found.withColumn("exists", F.lit(True)), "pattern_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 

@@ -53,11 +53,22 @@ def _side(le: DataFrame, hop: Hop, near: str, far: str) -> DataFrame:
     return labelled.groupBy(F.col(near).alias("mid"), F.col(far).alias("end")).agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("edge"))
 
 
+def _ends(le: DataFrame, hop: Hop, near: str, far: str) -> DataFrame:
+    """Distinct pairs of middle and far node of a hop."""
+    labelled = le.where((F.col("type") == hop.type) & ends_match([hop.start_label], [hop.end_label]))
+    return labelled.select(F.col(near).alias("mid"), F.col(far).alias("end")).distinct()
+
+
+def _hop_ends(first: Hop, second: Hop) -> tuple[tuple[str, str], tuple[str, str]]:
+    """The columns of the middle and of the far node of each hop. Path n0 - n1 - n2: the first hop goes n0 to n1 along its edge (against
+    it if inverse), the second n1 to n2."""
+    return ("src", "dst") if first.inverse else ("dst", "src"), ("dst", "src") if second.inverse else ("src", "dst")
+
+
 def two_sides(le: DataFrame, first: Hop, second: Hop) -> tuple[DataFrame, DataFrame]:
-    """Path n0 - n1 - n2: the first hop goes n0 to n1 along its edge (against it if inverse), the second n1 to n2."""
-    one = _side(le, first, "src" if first.inverse else "dst", "dst" if first.inverse else "src")
-    two = _side(le, second, "dst" if second.inverse else "src", "src" if second.inverse else "dst")
-    return one, two
+    """Both hops by middle node, see :func:`_hop_ends`."""
+    one, two = _hop_ends(first, second)
+    return _side(le, first, *one), _side(le, second, *two)
 
 
 def distinct_edges(a_n: str, a_edge: str, b_n: str, b_edge: str) -> Column:
@@ -68,9 +79,13 @@ def distinct_edges(a_n: str, a_edge: str, b_n: str, b_edge: str) -> Column:
 def compose_vrel(le: DataFrame, vrel: VRel) -> DataFrame:
     """Distinct ``(src, dst)`` of two-hop paths through two different edges.
 
-    Parallel edges are folded to one row per pair of nodes before the join; one edge can be both hops only where the ends are equal.
-    The join is by the middle node; a hub's rows are split by the adaptive skew join.
+    Parallel edges are folded to one row per pair of nodes before the join; one edge can be both hops only where the ends are equal, and
+    never where the hops differ in type: then no edge id is carried. The join is by the middle node; a hub's rows are split by the
+    adaptive skew join.
     """
+    if vrel.first.type != vrel.second.type:
+        one, two = (_ends(le, hop, *ends) for hop, ends in zip((vrel.first, vrel.second), _hop_ends(vrel.first, vrel.second), strict=True))
+        return one.withColumnRenamed("end", "src").join(two.withColumnRenamed("end", "dst"), "mid").select("src", "dst").distinct()
     one, two = two_sides(le, vrel.first, vrel.second)
     one = one.select("mid", F.col("end").alias("src"), F.col("n").alias("n1"), F.col("edge").alias("e1"))
     two = two.select("mid", F.col("end").alias("dst"), F.col("n").alias("n2"), F.col("edge").alias("e2"))

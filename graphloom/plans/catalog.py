@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import model
-from graphloom.functions import keywords
+from graphloom.functions import keywords, similarity
 from graphloom.operators import algebra, closure, evaluation, linking, patterns, profile, views
-from graphloom.plans.config import Hop, Rel, ViewConfig, VRel, dump, parse
+from graphloom.plans.config import Hop, Rel, ViewConfig, VRel, dump, read
 from graphloom.sources import files, tables, warehouse
 from graphloom.streaming import ingest
 
@@ -20,7 +20,7 @@ SAME_REGION = VRel("SAME_REGION", Hop("IN_REGION", "Nation", "Region"), Hop("IN_
 BASE = ViewConfig(("Nation", "Region", "Supplier"), (Rel("IN_REGION", ("Nation",), ("Region",)), Rel("IN_NATION", ("Supplier",), ("Nation",))), ())
 WHOLE = ViewConfig(BASE.labels, BASE.rels, (SAME_REGION, VRel("IN", Hop("IN_NATION", "Supplier", "Nation"), Hop("IN_REGION", "Nation", "Region")), VRel("NEAR", Hop("IN_NATION", "Supplier", "Nation"), Hop("SAME_REGION", "Nation", "Nation"))))
 PATTERN_RELS = [Rel("PLACED", ("Customer",), ("Order",)), Rel("CONTAINS", ("Order",), ("Part",)), Rel("SUBST", ("Part",), ("Part",)), Rel("IN_NATION", ("Customer", "Supplier"), ("Nation",))]
-QUERY_SHARE = 20  # the entity messages: customers whose key it divides
+QUERY_SHARE = 20  # the queries of searches whose whole table is the result: messages whose number it divides
 
 graph = lambda s, d: (warehouse.nodes(s, d), warehouse.edges(s, d))
 labelled = lambda s, d: model.label_edges(warehouse.nodes(s, d).select("id", "labels"), warehouse.edges(s, d))
@@ -36,7 +36,10 @@ def _gen(s: SparkSession, d: str, config: ViewConfig) -> tuple[DataFrame, DataFr
 
 
 def gen_view(s, d):
-    return _gen(s, d, parse(dump(WHOLE)))[1].select("src", "dst", "type", "provenance")
+    """The view of a config that is read from a file."""
+    path = tables.shared_path(s, "config")
+    s.createDataFrame([(dump(WHOLE),)], "value string").write.text(path)
+    return _gen(s, d, read(s, path))[1].select("src", "dst", "type", "provenance")
 
 
 def expand_view(s, d):
@@ -93,19 +96,32 @@ def reach(s, d):
 
 CLASSES = """{"data": {
  "Customer": {"objectProperty": {"IN_NATION": {"domain": ["Customer"], "range": ["Nation"]}}, "datatypeProperty": {"name": {"domain": ["Customer"], "range": ["string"]}, "acctbal": {"domain": ["Customer"], "range": ["double"]}, "segment": {"domain": ["Customer"], "range": ["string"]}}},
- "Nation": {"objectProperty": {}, "datatypeProperty": {"name": {"domain": ["Nation"], "range": ["string"]}}}}}"""
+ "Nation": {"objectProperty": {"IN_REGION": {"domain": ["Nation"], "range": ["Region"]}, "NEAR": {"domain": ["Nation"], "range": ["Supplier", "Customer"]}, "ABOUT": {"domain": ["Nation"], "range": []}},
+  "datatypeProperty": {"name": {"domain": ["Nation"], "range": ["string"]}, "lower": {"domain": ["Nation"], "range": ["string"]}, "code": {"domain": ["Nation"], "range": ["string"]}, "mark": {"domain": ["Nation"], "range": ["string"]}, "flag": {"domain": ["Nation"], "range": ["boolean"]}, "size": {"domain": ["Nation"], "range": ["int"]}}}}}"""
 
 
-def class_rows(s: SparkSession) -> DataFrame:
-    return files.flatten_schema(s.createDataFrame([(1, CLASSES)], "gid long, value string"))
+def class_rows(s: SparkSession, *gids: int) -> DataFrame:
+    return files.flatten_schema(s.createDataFrame([(g, CLASSES) for g in gids or (1,)], "gid long, value string"))
 
 
-def decode_messages(s, d):
-    """Message lines with faults by the key of their customer, decoded."""
+def class_lookup(s, d):
+    """Nodes of the classes that a lookup of one graph returns, with its rows."""
+    rows = files.class_schema(class_rows(s, 1, 2), 2, ["Nation", "Region"])
+    used = warehouse.nodes(s, d).select(F.explode("labels").alias("class")).groupBy("class").count()
+    return rows.join(used, "class").select("gid", "class", "kind", "prop", flat(F.col("range")).alias("range"), F.col("count").alias("n"))
+
+
+def message_lines(s: SparkSession, d: str) -> DataFrame:
+    """A line per customer, with faults by the key."""
     key = F.col("c_custkey")
     good = F.format_string('{"gid": %d, "host": "h", "data": [{"label": "Customer", "name": "%s"}, {"label": "Nation"}]}', key % 3, F.col("c_name"))
     line = F.when(key % 4 == 1, F.expr("substring(c_name, 1, 3)")).when(key % 4 == 2, F.format_string('{"host": "h", "data": ["%s"]}', "c_name")).when(key % 4 == 3, F.format_string('{"gid": %d, "data": []}', key)).otherwise(good)
-    rows = files.decode_messages(s.read.parquet(f"{d}/customer.parquet").select(line.alias("value")))
+    return s.read.parquet(f"{d}/customer.parquet").select(line.alias("value"))
+
+
+def decode_messages(s, d):
+    """Message lines with faults, decoded."""
+    rows = files.decode_messages(message_lines(s, d))
     return rows.groupBy("gid", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("data"), F.lit(0))).cast("long").alias("entities"))
 
 
@@ -115,27 +131,41 @@ def flatten_schema(s, d):
     return class_rows(s).join(used, "class").select("gid", "class", "kind", "prop", flat(F.col("domain")).alias("domain"), flat(F.col("range")).alias("range"), F.col("count").alias("n"))
 
 
-def messages(s: SparkSession, d: str) -> DataFrame:
-    """A message for every customer whose key 20 divides: the customer with its name's last character dropped, an undefined
-    property and a link to its nation, and the nation once more as an entity."""
-    customer = s.read.parquet(f"{d}/customer.parquet").where(F.col("c_custkey") % QUERY_SHARE == 0)
-    nation = s.read.parquet(f"{d}/nation.parquet")
+def messages(s: SparkSession, d: str, share: int = 1, region: bool = False) -> DataFrame:
+    """A message for every customer (whose key ``share`` divides): the customer with its name's last character dropped, an undefined
+    property and a link to its nation, and the nation once more as an entity, with a link to its region if told."""
+    customer = s.read.parquet(f"{d}/customer.parquet").where(F.col("c_custkey") % share == 0)
+    nation = s.read.parquet(f"{d}/nation.parquet").join(s.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     first = F.to_json(F.struct(F.lit("Customer").alias("label"), F.expr("substring(c_name, 1, length(c_name) - 1)").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"), F.lit("x").alias("note"), F.col("n_name").alias("IN_NATION")))
-    second = F.to_json(F.struct(F.lit("Nation").alias("label"), F.col("n_name").alias("name")))
+    second = F.to_json(F.struct(F.lit("Nation").alias("label"), F.col("n_name").alias("name"), *([F.col("r_name").alias("IN_REGION")] if region else [])))
     return rows.select(F.col("c_custkey").alias("msg_id"), F.lit(1).cast("long").alias("gid"), F.array(first, second).alias("data"))
 
 
-def stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def stored(s: SparkSession, d: str, labels: tuple[str, ...] = ("Customer", "Nation"), types: tuple[str, ...] = ("IN_NATION",)) -> tuple[DataFrame, DataFrame]:
     nodes, edges = graph(s, d)
-    return nodes.where("arrays_overlap(labels, array('Customer', 'Nation'))").withColumn("gid", F.lit(1).cast("long")), edges.where("type = 'IN_NATION'").withColumn("gid", F.lit(1).cast("long")).select("gid", "src", "type", "dst")
+    gid = F.lit(1).cast("long").alias("gid")
+    return nodes.where(model.has_any(F.col("labels"), list(labels))).select(gid, "id", "labels", "props"), edges.where(F.col("type").isin(*types)).select(gid, "src", "type", "dst")
 
 
-def query_graph(s, d):
-    q_nodes, q_edges = linking.build_query_graph(messages(s, d), class_rows(s))
+def query_graph(s, d, share: int = 1, region: bool = False):
+    q_nodes, q_edges = linking.build_query_graph(messages(s, d, share, region), class_rows(s))
     return tables.cut(q_nodes, "catalog-q-nodes"), tables.cut(q_edges, "catalog-q-edges")
 
 
+def entity_links(s, d):
+    """Links with several ranges and with none: nations with and without properties, then links to their names."""
+    nation = s.read.parquet(f"{d}/nation.parquet").join(s.read.parquet(f"{d}/supplier.parquet"), F.col("n_nationkey") == F.col("s_nationkey"))
+    one = F.to_json(F.struct(F.lit("Customer").alias("label"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).alias("name")))
+    two = F.to_json(F.struct(F.lit("Nation").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.col("s_name")).alias("name"), F.col("n_name").alias("lower")))
+    three = F.to_json(F.struct(F.lit("Nation").alias("label"), F.concat("n_name", F.lit("2")).alias("name"), F.col("s_name").alias("NEAR"), F.concat("n_name", F.lit("2")).alias("ABOUT")))
+    rows = nation.select(F.col("s_suppkey").cast("long").alias("msg_id"), F.lit(1).cast("long").alias("gid"), F.array(one, two, three, three).alias("data"))
+    q, e = linking.build_query_graph(rows, class_rows(s))
+    q, e = tables.cut(q, "catalog-q-nodes"), tables.cut(e, "catalog-q-edges")
+    name = lambda side: q.select("msg_id", F.col("q_id").alias(f"q_{side}"), F.col("labels")[0].alias(f"{side}_label"), F.coalesce(F.col("props")["name"]["str"], F.lit("")).alias(side))
+    return e.join(name("src"), ["msg_id", "q_src"]).join(name("dst"), ["msg_id", "q_dst"]).select("msg_id", "src", "type", "dst_label", "dst")
+
+
 def _text(p):
     return F.array_join(F.transform(F.array_sort(F.map_keys(p)), lambda k: F.concat_ws("=", k, F.coalesce(F.element_at(p, k)["str"], F.round(F.element_at(p, k)["num"], 2).cast("string")))), ";")
 
@@ -157,34 +187,44 @@ def entity_edges(s, d):
     return e.join(name("src"), ["msg_id", "q_src"]).join(name("dst"), ["msg_id", "q_dst"]).select("msg_id", "src", "type", "dst")
 
 
-def _sims(s, d):
-    q, e = query_graph(s, d)
-    nodes, edges = stored(s, d)
-    return q, e, nodes, edges, linking.similarity(linking.block(q, nodes))
-
-
 def _named(q):
     return q.select("msg_id", "q_id", F.col("labels")[0].alias("label"))
 
 
 def blocked_pairs(s, d):
-    q, _, nodes, _, _ = _sims(s, d)
-    return linking.block(q, nodes).join(_named(q), ["msg_id", "q_id"]).groupBy("msg_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("d_id").alias("least"), F.max("d_id").alias("most"))
+    q, _ = query_graph(s, d, QUERY_SHARE)
+    return linking.block(q, stored(s, d)[0]).join(_named(q), ["msg_id", "q_id"]).groupBy("msg_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("d_id").alias("least"), F.max("d_id").alias("most"))
 
 
 def node_similarity(s, d):
-    q, _, _, _, sims = _sims(s, d)
+    q, _ = query_graph(s, d, QUERY_SHARE)
+    sims = linking.similarity_table(q, stored(s, d)[0])
     return sims.join(_named(q), ["msg_id", "q_id"]).select("msg_id", "label", "d_id", F.round("sim", 6).alias("sim"))
 
 
-def _linked(s, d):
-    q, e, nodes, edges, sims = _sims(s, d)
-    top = tables.cut(linking.top_k(sims), "catalog-top")
+def mixed_similarity(s, d):
+    """Each customer against the next one, with properties of every kind: booleans, lists, numbers and texts, and one that is skipped;
+    and the least distance of their aliases."""
+    c = s.read.parquet(f"{d}/customer.parquet")
+    tags = F.array(model.single("str", F.col("c_mktsegment")), model.single("str", F.expr("substring(c_name, length(c_name) - 2, 3)")))
+    entries = {"rich": model.prop("bool", F.col("c_acctbal") > 5000), "tags": model.prop("list", tags), "_key": model.prop("num", F.col("c_custkey")), "nation": model.prop("num", F.col("c_nationkey"))}
+    props = F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in entries.items())))
+    names = F.array("c_name", "c_mktsegment")
+    q = c.select(F.lit(1).cast("long").alias("gid"), F.lit(0).cast("long").alias("q_id"), F.col("c_custkey").alias("msg_id"), (F.col("c_custkey") + 1).alias("d_id"), props.alias("q_props"), names.alias("a"))
+    other = c.select(F.col("c_custkey").alias("d_id"), props.alias("d_props"), names.alias("b"))
+    pairs = q.join(other, "d_id").withColumn("alias", similarity.alias_dist(F.col("a"), F.col("b"))).drop("a", "b")
+    return linking.similarity(pairs).select("msg_id", "d_id", F.round("sim", 6).alias("sim"), F.round("alias", 6).alias("alias"))
+
+
+def _linked(s, d, share: int = 1):
+    q, e = query_graph(s, d, share)
+    nodes, edges = stored(s, d)
+    top = tables.cut(linking.top_k(linking.similarity(linking.candidates(q, nodes, 0.8))), "catalog-top")
     return q, e, nodes, edges, top
 
 
 def top_k_candidates(s, d):
-    q, *_, top = _linked(s, d)
+    q, *_, top = _linked(s, d, QUERY_SHARE)
     return top.join(_named(q), ["msg_id", "q_id"]).select("msg_id", "label", "d_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -203,6 +243,15 @@ def joint_assignment(s, d):
     return found.join(_named(q), ["msg_id", "q_id"]).select("msg_id", "label", "d_id")
 
 
+def joint_assignment_groups(s, d):
+    """Messages whose nodes form groups of three: customer, nation and region."""
+    q, e = query_graph(s, d, 1, True)
+    nodes, edges = stored(s, d, ("Customer", "Nation", "Region"), ("IN_NATION", "IN_REGION"))
+    top = tables.cut(linking.top_k(linking.similarity(linking.candidates(q, nodes, 0.8))), "catalog-top")
+    found = linking.assign(top, tables.cut(linking.support(e, top, edges), "catalog-support"))
+    return found.join(_named(q), ["msg_id", "q_id"]).select("msg_id", "label", "d_id")
+
+
 def merge_props(s, d):
     q, _, nodes, _, found = _assigned(s, d)
     return linking.merge_nodes(nodes, found, q).where("id >= 0").select("id", _text(F.col("props")).alias("props"))
@@ -260,25 +309,60 @@ def triples_to_graph(s, d):
     return edges.join(name("src"), "src").join(name("dst"), "dst").select("src_name", "type", "dst_name")
 
 
+def read_logs(s, d):
+    """The log lines of each run, written as text and read back."""
+    path = tables.shared_path(s, "logs")
+    log_lines(s, d).select("run", "value").write.partitionBy("run").text(path)
+    return files.read_pattern_logs(s, {run: f"{path}/run={run}" for run in ("pruning", "default")})
+
+
 def edge_keywords(s, d):
     nodes, edges = graph(s, d)
-    return keywords.edge_keywords(nodes, edges.where("type = 'SUPPLIED_BY'")).select("edge_id", F.array_join("keywords", " ").alias("keywords"))
+    return keywords.edge_keywords(nodes, edges).select("edge_id", F.array_join("keywords", " ").alias("keywords"))
 
 
-def stream_ingest(s, d):
-    """Messages as lines of files, ingested by a stream into a store that holds the graph; the nodes that it knows afterwards."""
+def list_graph(s, d):
+    n, e = algebra.list_graph(*graph(s, d))
+    nodes = n.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("item"))
+    return nodes.unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws("|", "src", "type", "dst").alias("item")))
+
+
+def _ingested(s: SparkSession, lines: DataFrame, schema: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> str:
+    """A store after a stream of message lines, written as files first; rows in order of ``at``, where there is one, are one file."""
     path = tables.shared_path(s, "ingest")
-    nodes, edges = stored(s, d)
-    ingest.save(nodes, edges, nodes.select("gid").distinct(), f"{path}/store", -1)
+    if nodes is not None:
+        ingest.save_base(nodes, edges, f"{path}/store", -1)
+    lines = lines.orderBy("at").coalesce(1) if "at" in lines.columns else lines
+    lines.select("value").write.text(f"{path}/in")
+    ingest.start_ingest(files.message_stream(s, f"{path}/in"), f"{path}/store", schema, f"{path}/checkpoint", available_now=True).awaitTermination()
+    return f"{path}/store"
+
+
+def stream_ingest(s, d):
+    """A message of every customer, ingested by a stream into a store that holds the graph; the nodes that it knows afterwards."""
     lines = messages(s, d).select(F.concat(F.lit('{"gid": 1, "data": ['), F.array_join("data", ","), F.lit("]}")).alias("value"))
-    lines.write.text(f"{path}/in")
-    query = ingest.start_ingest(s.readStream.text(f"{path}/in"), f"{path}/store", class_rows(s), f"{path}/checkpoint", available_now=True)
-    query.awaitTermination()
-    return ingest.state(s, f"{path}/store")[0].where("id >= 0").select("id", _text(F.col("props")).alias("props"))
+    store = _ingested(s, lines, class_rows(s), *stored(s, d))
+    return ingest.state(s, store)[0].where("id >= 0").select("id", _text(F.col("props")).alias("props"))
+
+
+def stream_dead_letters(s, d):
+    """The lines that a stream could not take, by reason: malformed, no graph, no entities, classes that their graph has not."""
+    store = _ingested(s, message_lines(s, d), class_rows(s))
+    return s.read.parquet(f"{store}/dead_letters").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
+
+
+def stream_new_entities(s, d):
+    """Messages of two graphs about nations that the store has not: one for each supplier, in order of its key. Each nation becomes one node in
+    its graph, and its size is that of the last message."""
+    rows = s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    entity = F.to_json(F.struct(F.lit("Nation").alias("label"), F.col("n_name").alias("name"), F.lower("n_name").alias("lower"), F.md5("n_name").alias("code"), F.reverse("n_name").alias("mark"), (F.length("n_name") > 0).alias("flag"), F.col("s_suppkey").alias("size")))
+    lines = rows.select(F.col("s_suppkey").alias("at"), F.format_string('{"gid": %d, "data": [%s]}', F.col("s_suppkey") % 2 + 1, entity).alias("value"))
+    nodes, _ = ingest.state(s, _ingested(s, lines, class_rows(s, 1, 2)))
+    return nodes.select("gid", F.col("props")["name"]["str"].alias("name"), F.col("props")["size"]["num"].cast("long").alias("size"))
 
 
 def queries():
-    le, g = labelled, graph
+    le = labelled
     return {
         "nodes_by_label": lambda s, d: views.select_nodes(warehouse.nodes(s, d), ["Party", "Region"]).select("id", flat(F.col("labels")).alias("labels"), F.col("props")["name"]["str"].alias("name")),
         "copy_view_nodes": lambda s, d: views.copy_view_nodes(warehouse.nodes(s, d), ["Customer", "Nation"]).select("realId", flat(F.col("labels")).alias("labels"), F.size("props").cast("long").alias("n_props")),
@@ -309,20 +393,25 @@ def queries():
         "neighbour_counts": lambda s, d: algebra.neighbour_counts(warehouse.edges(s, d)),
         "reach_in_k": reach,
         "node_degree": lambda s, d: algebra.node_degree(warehouse.nodes(s, d), warehouse.edges(s, d)),
-        "list_graph": lambda s, d: algebra.list_graph(*g(s, d))[1],
+        "list_graph": list_graph,
         "decode_messages": decode_messages,
         "flatten_schema": flatten_schema,
+        "class_lookup": class_lookup,
         "entity_nodes": entity_nodes,
         "entity_edges": entity_edges,
+        "entity_links": entity_links,
         "blocked_pairs": blocked_pairs,
         "node_similarity": node_similarity,
+        "mixed_similarity": mixed_similarity,
         "top_k_candidates": top_k_candidates,
         "structural_support": structural_support,
         "joint_assignment": joint_assignment,
+        "joint_assignment_groups": joint_assignment_groups,
         "merge_props": merge_props,
         "rewire_edges": rewire_edges,
         "updated_labels": updated_labels,
         "parse_logs": lambda s, d: logs(s, d),
+        "read_logs": read_logs,
         "joint_logs": joint_logs,
         "joint_hashes": lambda s, d: evaluation.joint_hashes(logs(s, d).where("run = 'pruning'"), logs(s, d).where("run = 'default'")),
         "pattern_counts": lambda s, d: evaluation.pattern_counts(logs(s, d)),
@@ -332,6 +421,8 @@ def queries():
         "triples_to_graph": triples_to_graph,
         "edge_keywords": edge_keywords,
         "stream_ingest": stream_ingest,
+        "stream_dead_letters": stream_dead_letters,
+        "stream_new_entities": stream_new_entities,
     }
 
 

@@ -21,7 +21,7 @@ le AS (SELECT e.*, s.labels AS sl, d.labels AS dl FROM edges e JOIN nodes s ON s
 subst AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'SUBST'),
 same_region AS (SELECT DISTINCT a.src, b.src AS dst FROM edges a JOIN edges b ON a.dst = b.dst AND a.edge_id <> b.edge_id WHERE a.type = 'IN_REGION' AND b.type = 'IN_REGION'),
 region_all AS (SELECT DISTINCT a.src, b.src AS dst FROM edges a JOIN edges b ON a.dst = b.dst WHERE a.type = 'IN_REGION' AND b.type = 'IN_REGION' AND a.src IN (SELECT src FROM same_region) AND b.src IN (SELECT src FROM same_region)),
-q AS (SELECT c_custkey AS msg_id, substr(c_name, 1, length(c_name) - 1) AS name, c_acctbal AS acctbal, c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
+q AS (SELECT c_custkey AS msg_id, substr(c_name, 1, length(c_name) - 1) AS name, c_acctbal AS acctbal, c_mktsegment AS segment, n_name AS nation , r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 qn AS (SELECT msg_id, 'Customer' AS label, name, acctbal, segment FROM q UNION ALL SELECT msg_id, 'Nation', nation, NULL, NULL FROM q),
 sims AS (
   SELECT qn.msg_id, qn.label, d.id AS d_id,
@@ -66,7 +66,15 @@ UNION ALL SELECT src, dst, 'SAME_REGION', 'vrel-closure' FROM (SELECT * FROM reg
 UNION ALL SELECT * FROM (SELECT DISTINCT a.src, b.dst, 'IN' AS type, 'vrel' AS provenance FROM le a JOIN edges b ON a.dst = b.src WHERE a.type = 'IN_NATION' AND list_contains(a.sl, 'Supplier') AND b.type = 'IN_REGION')
 UNION ALL SELECT * FROM (SELECT DISTINCT a.src, b.dst, 'NEAR' AS type, 'vrel' AS provenance FROM le a JOIN region_all b ON a.dst = b.src WHERE a.type = 'IN_NATION' AND list_contains(a.sl, 'Supplier'))"""
 _REACH = "reach(src, dst) AS (SELECT src, dst FROM subst UNION SELECT r.src, s.dst FROM reach r JOIN subst s ON r.dst = s.src)"
-_CLASSES = "(VALUES ('Customer', 'object', 'IN_NATION', 'Customer', 'Nation'), ('Customer', 'datatype', 'name', 'Customer', 'string'), ('Customer', 'datatype', 'acctbal', 'Customer', 'double'), ('Customer', 'datatype', 'segment', 'Customer', 'string'), ('Nation', 'datatype', 'name', 'Nation', 'string')) v(class, kind, prop, domain, range)"
+_CLASSES = """(VALUES ('Customer', 'object', 'IN_NATION', 'Customer', 'Nation'), ('Customer', 'datatype', 'name', 'Customer', 'string'), ('Customer', 'datatype', 'acctbal', 'Customer', 'double'), ('Customer', 'datatype', 'segment', 'Customer', 'string'),
+  ('Nation', 'object', 'IN_REGION', 'Nation', 'Region'), ('Nation', 'object', 'NEAR', 'Nation', 'Customer,Supplier'), ('Nation', 'object', 'ABOUT', 'Nation', ''), ('Nation', 'datatype', 'name', 'Nation', 'string'), ('Nation', 'datatype', 'lower', 'Nation', 'string'),
+  ('Nation', 'datatype', 'code', 'Nation', 'string'), ('Nation', 'datatype', 'mark', 'Nation', 'string'), ('Nation', 'datatype', 'flag', 'Nation', 'boolean'), ('Nation', 'datatype', 'size', 'Nation', 'int')) v(class, kind, prop, domain, range)"""
+_USED = "(SELECT l, count(*) AS n FROM (SELECT unnest(labels) AS l FROM nodes) GROUP BY l)"
+_LINE = """SELECT c_custkey % 4 AS k, c_custkey % 3 AS g, CASE c_custkey % 4 WHEN 1 THEN substr(c_name, 1, 3) WHEN 2 THEN '{"host": "h", "data": ["' || c_name || '"]}' WHEN 3 THEN '{"gid": ' || c_custkey || ', "data": []}'
+  ELSE '{"gid": ' || (c_custkey % 3) || ', "host": "h", "data": [{"label": "Customer", "name": "' || c_name || '"}, {"label": "Nation"}]}' END AS value FROM customer"""
+_DIST = "levenshtein({0}, {1}) / greatest(length({0}), length({1}))"
+_LEAST = lambda a, b: "least(" + ", ".join(_DIST.format(f"x.{i}", f"y.{j}") for i in (a, b) for j in (a, b)) + ")"
+_WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
 
 SQL = {
     "nodes_by_label": _q("SELECT id, array_to_string(labels, ',') AS labels, name FROM nodes WHERE list_has_any(labels, ['Party', 'Region'])"),
@@ -109,21 +117,34 @@ JOIN deg s ON s.node = e.src JOIN deg t ON t.node = e.dst JOIN (SELECT least(src
     "reach_in_k": _q("""SELECT p.a, p.b, EXISTS (SELECT 1 FROM both1 x WHERE x.a = p.a AND x.b = p.b) OR EXISTS (SELECT 1 FROM both1 x JOIN both1 y ON x.b = y.a WHERE x.a = p.a AND y.b = p.b) AS reach
 FROM (SELECT s_suppkey * 8 + 3 AS a, (s_suppkey % 5) * 8 AS b FROM supplier) p""").replace("pats AS", "both1(a, b) AS (SELECT src, dst FROM edges WHERE type IN ('IN_NATION', 'IN_REGION') UNION SELECT dst, src FROM edges WHERE type IN ('IN_NATION', 'IN_REGION')),\npats AS"),
     "node_degree": _q("SELECT n.id, coalesce(o.d, 0) AS out, coalesce(i.d, 0) AS \"in\", coalesce(o.d, 0) + coalesce(i.d, 0) AS bi FROM nodes n LEFT JOIN (SELECT src, count(*) AS d FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY dst) i ON i.dst = n.id"),
-    "list_graph": _q("SELECT DISTINCT src, type, dst FROM edges"),
+    "list_graph": _q("SELECT 'node' AS kind, CAST(id AS VARCHAR) AS item FROM nodes UNION ALL SELECT DISTINCT 'edge', src || '|' || type || '|' || dst FROM edges"),
     "decode_messages": """SELECT CASE c_custkey % 4 WHEN 0 THEN c_custkey % 3 WHEN 3 THEN c_custkey END AS gid, CASE c_custkey % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' END AS reason,
   count(*) AS n, CAST(sum(CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS entities FROM customer GROUP BY 1, 2""",
-    "flatten_schema": _q(f"SELECT CAST(1 AS BIGINT) AS gid, v.class, v.kind, v.prop, v.domain, v.range, c.n FROM {_CLASSES} JOIN (SELECT l, count(*) AS n FROM (SELECT unnest(labels) AS l FROM nodes) GROUP BY l) c ON c.l = v.class"),
+    "flatten_schema": _q(f"SELECT CAST(1 AS BIGINT) AS gid, v.class, v.kind, v.prop, v.domain, v.range, c.n FROM {_CLASSES} JOIN {_USED} c ON c.l = v.class"),
+    "class_lookup": _q(f"SELECT CAST(2 AS BIGINT) AS gid, v.class, v.kind, v.prop, v.range, c.n FROM {_CLASSES} JOIN {_USED} c ON c.l = v.class WHERE v.class = 'Nation'"),
+    "entity_links": """SELECT CAST(s_suppkey AS BIGINT) AS msg_id, n_name || '2' AS src, 'NEAR' AS type, 'Customer' AS dst_label, CASE WHEN s_suppkey % 3 > 0 THEN s_name ELSE '' END AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT CAST(s_suppkey AS BIGINT), n_name || '2', 'ABOUT', CASE WHEN s_suppkey % 3 > 0 THEN 'Nation' ELSE 'Customer' END, CASE WHEN s_suppkey % 3 > 0 THEN n_name || '2' ELSE '' END FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "entity_nodes": _q("SELECT msg_id, CAST(1 AS BIGINT) AS ordinal, 'Customer' AS label, name, CAST(3 AS BIGINT) AS n_props FROM q UNION ALL SELECT msg_id, 2, 'Nation', nation, 1 FROM q"),
     "entity_edges": _q("SELECT msg_id, name AS src, 'IN_NATION' AS type, nation AS dst FROM q"),
-    "blocked_pairs": _q("SELECT msg_id, label, count(*) AS n, min(d_id) AS least, max(d_id) AS most FROM sims GROUP BY msg_id, label"),
-    "node_similarity": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim FROM sims"),
-    "top_k_candidates": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim, rank FROM top"),
+    "blocked_pairs": _q("SELECT msg_id, label, count(*) AS n, min(d_id) AS least, max(d_id) AS most FROM sims WHERE msg_id % 20 = 0 GROUP BY msg_id, label"),
+    "node_similarity": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim FROM sims WHERE msg_id % 20 = 0"),
+    "mixed_similarity": f"""SELECT x.c AS msg_id, y.c AS d_id, round(1 - ((1 - 1 / (1 + abs(x.nation - y.nation))) + CASE WHEN x.rich = y.rich THEN 0 ELSE 1 END + {_LEAST('seg', 'tail')}) / 3, 6) AS sim, round({_LEAST('name', 'seg')}, 6) AS alias
+FROM (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) x
+JOIN (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) y ON y.c = x.c + 1""",
+    "top_k_candidates": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim, rank FROM top WHERE msg_id % 20 = 0"),
     "structural_support": _q("SELECT msg_id, 'IN_NATION' AS type, d_src, d_dst FROM sup"),
     "joint_assignment": _q("SELECT msg_id, label, d_id FROM assigned"),
+    "joint_assignment_groups": _q("""SELECT msg_id, unnest(['Customer', 'Nation', 'Region']) AS label, unnest([c_id, n_id, r_id]) AS d_id FROM (SELECT m.msg_id, a.d_id AS c_id, b.d_id AS n_id, r.d_id AS r_id,
+  row_number() OVER (PARTITION BY m.msg_id ORDER BY round(coalesce(a.sim, 0) + coalesce(b.sim, 0) + coalesce(r.sim, 0) + CASE WHEN s.msg_id IS NULL THEN 0 ELSE 1 END + CASE WHEN t.src IS NULL THEN 0 ELSE 1 END, 9) DESC, r.rank, b.rank, a.rank) AS pick
+  FROM q m LEFT JOIN top a ON a.msg_id = m.msg_id AND a.label = 'Customer' LEFT JOIN top b ON b.msg_id = m.msg_id AND b.label = 'Nation' LEFT JOIN rtop r ON r.name = m.region
+  LEFT JOIN sup s ON s.msg_id = m.msg_id AND s.d_src = a.d_id AND s.d_dst = b.d_id LEFT JOIN edges t ON t.type = 'IN_REGION' AND t.src = b.d_id AND t.dst = r.d_id) WHERE pick = 1 AND c_id IS NOT NULL""").replace(
+        "pats AS", f"rtop AS (SELECT * FROM (SELECT name, d_id, sim, row_number() OVER (PARTITION BY name ORDER BY sim DESC, d_id) AS rank FROM (SELECT x.name, y.id AS d_id, 1 - {_DIST.format('x.name', 'y.name')} AS sim FROM nodes x JOIN nodes y ON list_contains(x.labels, 'Region') AND list_contains(y.labels, 'Region')) WHERE sim >= 0.8) WHERE rank <= 3),\npats AS"
+    ),
     "merge_props": _q(_MERGED),
     "rewire_edges": _q("SELECT DISTINCT c_id AS src, 'IN_NATION' AS type, n_id AS dst FROM best WHERE c_id IS NOT NULL AND n_id IS NOT NULL"),
     "updated_labels": _q("SELECT l AS label, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT DISTINCT n.id, unnest(n.labels) AS l FROM nodes n JOIN assigned a ON a.d_id = n.id) GROUP BY l"),
     "parse_logs": _q("SELECT run, round, pattern_type, hash_code FROM raw"),
+    "read_logs": _q("SELECT run, round, pattern_type, hash_code FROM raw"),
     "joint_logs": _q("SELECT run, round, pattern_type, hash_code FROM pruning UNION ALL SELECT run, round, pattern_type, hash_code FROM others"),
     "joint_hashes": _q("SELECT DISTINCT hash_code FROM pruning"),
     "pattern_counts": _q("SELECT run, count(*) AS n FROM raw GROUP BY run"),
@@ -132,8 +153,11 @@ FROM (SELECT s_suppkey * 8 + 3 AS a, (s_suppkey % 5) * 8 AS b FROM supplier) p""
   SELECT count(*) FILTER (contains(pattern_type, 'autoPruning')) AS tp, count(*) FILTER (contains(pattern_type, 'manualMeaningless')) AS fn, count(*) FILTER (contains(pattern_type, 'manualLabel')) AS tn FROM pruning)"""),
     "entity_csv": _q("SELECT id, name, unnest(labels) AS label FROM nodes"),
     "triples_to_graph": "SELECT DISTINCT 'part' || p_partkey AS src_name, 'brand' AS type, p_brand AS dst_name FROM part UNION SELECT 'part' || p_partkey, 'type', p_type FROM part",
-    "edge_keywords": _q("""SELECT e.edge_id, array_to_string(list_sort(list_concat(list_distinct(list_concat(s.labels, d.labels, [s.name, d.name], regexp_extract_all(s.name, '[A-Za-z0-9]+'), regexp_extract_all(d.name, '[A-Za-z0-9]+'))),
-  s.labels, s.labels, [s.name, d.name], regexp_extract_all(s.name, '[A-Za-z0-9]+'), regexp_extract_all(d.name, '[A-Za-z0-9]+'))), ' ') AS keywords
-FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE e.type = 'SUPPLIED_BY'"""),
+    "edge_keywords": _q(f"""SELECT e.edge_id, array_to_string(list_sort(list_concat(list_distinct(list_concat(s.labels, d.labels, [s.name, d.name], v.words, w.words)),
+  s.labels, s.labels, [s.name, d.name], {_WORDS.format('s.name')}, {_WORDS.format('d.name')})), ' ') AS keywords
+FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst JOIN texts v ON v.id = e.src JOIN texts w ON w.id = e.dst""").replace("pats AS", f"""texts AS (SELECT n.id, list_distinct({_WORDS.format("concat_ws(' ', n.name, n.segment, p_brand, p_type, o_orderstatus)")}) AS words FROM nodes n LEFT JOIN part ON n.id = p_partkey * 8 + 4 LEFT JOIN orders ON n.id = o_orderkey * 8 + 5),
+pats AS"""),
     "stream_ingest": _q(_MERGED),
+    "stream_dead_letters": f"SELECT reason, count(*) AS n, min(value) AS least FROM (SELECT value, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' ELSE CASE WHEN g <> 1 THEN 'unknown class' END END AS reason FROM ({_LINE})) WHERE reason IS NOT NULL GROUP BY reason",
+    "stream_new_entities": "SELECT CAST(s_suppkey % 2 + 1 AS BIGINT) AS gid, n_name AS name, CAST(max(s_suppkey) AS BIGINT) AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
 }

@@ -41,14 +41,20 @@ def triples_to_graph(triples: DataFrame, label: str = "Resource") -> tuple[DataF
     return nodes, edges
 
 
-def decode_messages(lines: DataFrame, value: str = "value") -> DataFrame:
+def message_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """``(value, arrival)`` of the lines of a folder of files, as a stream: files by time and name, and parts of files by their place."""
+    place = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return spark.readStream.options(**options).text(path).select("value", place.alias("arrival"))
+
+
+def decode_messages(lines: DataFrame, value: str = "value", *more: str) -> DataFrame:
     """``(gid, host, boltport, data, reason, value)``: entity messages from JSON text, entities as JSON text of their own. ``reason`` is
-    null for a good message: malformed, no gid, or no entities otherwise."""
+    null for a good message: malformed, no gid, or no entities otherwise. ``more``: columns of ``lines`` to keep."""
     raw = F.try_parse_json(F.col(value))
     get = lambda path, t: F.try_variant_get(F.col("v"), path, t)
-    rows = lines.select(F.col(value).alias("value"), raw.alias("v")).select("value", "v", get("$.gid", "bigint").alias("gid"), get("$.host", "string").alias("host"), get("$.boltport", "string").alias("boltport"), F.transform(get("$.data", "array<variant>"), lambda x: F.to_json(x)).alias("data"))
+    rows = lines.select(F.col(value).alias("value"), raw.alias("v"), *more).select("value", "v", *more, get("$.gid", "bigint").alias("gid"), get("$.host", "string").alias("host"), get("$.boltport", "string").alias("boltport"), F.transform(get("$.data", "array<variant>"), lambda x: F.to_json(x)).alias("data"))
     reason = F.when(F.col("v").isNull(), "malformed").when(F.col("gid").isNull(), "no gid").when(F.coalesce(F.size("data"), F.lit(-1)) < 1, "no entities")
-    return rows.select("gid", "host", "boltport", "data", reason.alias("reason"), "value")
+    return rows.select("gid", "host", "boltport", "data", reason.alias("reason"), "value", *more)
 
 
 def flatten_schema(classes: DataFrame, value: str = "value") -> DataFrame:

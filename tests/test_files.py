@@ -1,10 +1,12 @@
 import json
+import os
 
-from graphs import make, node
+import pytest
+from graphs import make, node, props
 from pyspark.sql import functions as F
-from test_linking import MOVIE, schema
+from test_linking import TOWNS, schema
 
-from graphloom.functions.keywords import edge_keywords
+from graphloom.functions.keywords import edge_keywords, property_words
 from graphloom.model import NODE_SCHEMA
 from graphloom.operators import evaluation
 from graphloom.sources import files
@@ -34,8 +36,8 @@ def test_messages_and_schema(spark):
     assert [r.reason for r in rows] == [None, "malformed", "no gid", "no entities", "malformed"]
     assert rows[0].gid == 3 and json.loads(rows[0].data[0]) == {"label": "A", "n": 1.0}
     flat = schema(spark)
-    assert flat.count() == sum(len(c[k]) for c in MOVIE["data"].values() for k in c)
-    assert {r["class"] for r in files.class_schema(flat, 1, ["Place", "None"]).collect()} == {"Place"} and files.class_schema(flat, 2, ["Place"]).count() == 0
+    assert flat.count() == sum(len(c[k]) for c in TOWNS["data"].values() for k in c)
+    assert {r["class"] for r in files.class_schema(flat, 1, ["Town", "None"]).collect()} == {"Town"} and files.class_schema(flat, 2, ["Town"]).count() == 0
 
 
 def log(kind, code, n=1):
@@ -60,14 +62,20 @@ def test_edge_keywords(spark):
     n, e = make(spark, [(1, ["Film"], {"name": VALUE("Red Sun")}), (2, ["Person"], {"name": VALUE(" Ann ")}), node(3, "Empty")], [(1, "by", 2), (1, "by", 3)])
     got = {r.edge_id: r.keywords for r in edge_keywords(n, e).collect()}
     assert got["by|1|2|0"] == sorted(["Film", "Person", "Red Sun", "Ann", "Red", "Sun", "Film", "Film", "Red Sun", "Ann", "Red", "Sun", "Ann"])
+    assert property_bag(spark, {"name": "Red Sun", "n": 3, "tags": ["old film", "Sun"], "by": "Ann"}) == ["Ann", "Red", "Sun", "film", "old"]
     assert got["by|1|3|1"] == sorted(["Film", "Empty", "Red Sun", "Red", "Sun", "Film", "Film", "Red Sun", "Red", "Sun"])
 
 
+def property_bag(spark, values):
+    df = props(spark, [(values, {})])
+    return df.select(F.array_sort(property_words(F.col("q_props"))).alias("w")).first().w
+
+
 def test_stream_equals_batches_and_runs_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    first = {"gid": 1, "data": [{"label": "Movie", "name": "fulian4", "hasDirector": "fd"}]}
-    second = {"gid": 1, "data": [{"label": "Movie", "name": "fulian5", "year": 7, "hasActor": "fd"}]}
-    other = {"gid": 2, "data": [{"label": "Movie", "name": "x"}]}
+    first = {"gid": 1, "data": [{"label": "Bridge", "name": "Low Span1", "crosses": "Wend"}]}
+    second = {"gid": 1, "data": [{"label": "Bridge", "name": "Low Span2", "built": 7, "spans": "Wend"}]}
+    other = {"gid": 2, "data": [{"label": "Bridge", "name": "x"}]}
     store, check = str(tmp_path / "store"), str(tmp_path / "check")
 
     def run(name, lines):
@@ -77,15 +85,46 @@ def test_stream_equals_batches_and_runs_once(spark, tmp_path):
 
     run("a.txt", [json.dumps(first), "{", json.dumps(other)])
     nodes, edges = ingest.state(spark, store)
-    assert sorted((r.gid, r.labels[0], r.props["name"]["str"]) for r in nodes.collect()) == [(1, "Movie", "fulian4"), (1, "Person", "fd")]
+    assert sorted((r.gid, r.labels[0], r.props["name"]["str"]) for r in nodes.collect()) == [(1, "Bridge", "Low Span1"), (1, "River", "Wend")]
     dead = {r.reason for r in spark.read.parquet(f"{store}/dead_letters").collect()}
     assert dead == {"malformed", "unknown class"}
     run("b.txt", [json.dumps(second)])
     nodes, edges = ingest.state(spark, store)
     rows = {r.props["name"]["str"]: r for r in nodes.collect()}
-    assert set(rows) == {"fd", "fulian5"} and rows["fulian5"].props["year"]["num"] == 7 and edges.count() == 2
+    assert set(rows) == {"Wend", "Low Span2"} and rows["Low Span2"].props["built"]["num"] == 7 and edges.count() == 2
     before = sorted(map(str, nodes.collect()))
     again = spark.read.text(str(tmp_path / "in" / "b.txt"))
     last = spark.read.parquet(f"{store}/commits").agg(F.max("batch")).first()[0]
     ingest.ingest_batch(again, last, store, schema(spark))
     assert sorted(map(str, ingest.state(spark, store)[0].collect())) == before and ingest.state(spark, store)[1].count() == 2
+
+
+def _line(gid, **entity):
+    return json.dumps({"gid": gid, "data": [{"label": "Person", **entity}]})
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 20])
+def test_messages_are_taken_in_order(spark, tmp_path, monkeypatch, files_per_batch):
+    """A stream of many batches leaves what one batch leaves; old bases and batches go."""
+    monkeypatch.setattr(ingest, "COMPACT", 3)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(8):
+        (folder / f"{i}.txt").write_text("\n".join([_line(1, name="Anna Maria Lang", age=1 + i / 100), "{", _line(2, name=f"somebody number {i}" if i % 2 else "Anna Maria Lang", age=i)]))
+        os.utime(folder / f"{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))
+    store = str(tmp_path / "store")
+    stream = files.message_stream(spark, str(folder), maxFilesPerTrigger=files_per_batch)
+    classes = people(spark, 1, 2)
+    ingest.start_ingest(stream, store, classes, str(tmp_path / "check"), available_now=True).awaitTermination()
+    nodes, _ = ingest.state(spark, store)
+    rows = nodes.collect()
+    one = [r for r in rows if r.gid == 1]
+    assert len(one) == 1 and one[0].props["age"]["num"] == pytest.approx(1.07)
+    assert {r.reason for r in spark.read.parquet(f"{store}/dead_letters").collect()} == {"malformed"}
+    if files_per_batch == 1:
+        assert len(ingest._batches(spark, store, "bases")) == 2 and len(ingest._batches(spark, store, "commits")) <= 6
+
+
+def people(spark, *gids):
+    text = json.dumps({"data": {"Person": {"objectProperty": {}, "datatypeProperty": {"name": {"domain": ["Person"], "range": ["string"]}, "age": {"domain": ["Person"], "range": ["int"]}}}}})
+    return files.flatten_schema(spark.createDataFrame([(g, text) for g in gids], "gid long, value string"))
