@@ -30,10 +30,17 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 CHUNK_CHARS = 4 << 20
-KEPT_UNITS = 400_000
+KEPT_CHARS = 6 << 20  # of words that are remembered with their encodings
 UNIT = re.compile(f"{METASPACE}*[^{METASPACE}]+|{METASPACE}+")
 
 
+def units(text: str) -> list[str]:
+    """Words with the metaspaces before them, and metaspaces at the end."""
+    if text[:1] == METASPACE and text[-1] != METASPACE and METASPACE * 2 not in text:
+        return [METASPACE + w for w in text[1:].split(METASPACE)]
+    return UNIT.findall(text)
+
+
 class Codec:
     """A SentencePiece model on the tokenizers library."""
 
@@ -89,12 +96,14 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text. Words coded before are kept, up to ``KEPT_UNITS``."""
-        if len(self.index) > KEPT_UNITS:
+        """Flat ids and the number of ids of each text. Words coded before are kept, until they have ``KEPT_CHARS``."""
+        if self.held > KEPT_CHARS:
             self.forget()
         index, before = self.index, len(self.index)
-        words = [np.array([index.setdefault(u, len(index)) for u in (UNIT.findall(t) if self.by_words else [t] * bool(t))], np.int64) for t in map(self.normalized, texts)]
-        coded = self.encode_units(list(islice(index, before, None)))
+        words = [np.array([index.setdefault(u, len(index)) for u in (units(t) if self.by_words else [t] * bool(t))], np.int64) for t in map(self.normalized, texts)]
+        fresh = list(islice(index, before, None))
+        self.held += sum(map(len, fresh))
+        coded = self.encode_units(fresh)
         self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded))])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(coded), np.int32)])
         sizes, starts = self.sizes, np.cumsum(self.sizes) - self.sizes
@@ -107,10 +116,11 @@ class Codec:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        out = b"".join([self.pieces[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        out = b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
@@ -148,17 +158,18 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
                 texts = part.column(text_col).to_pylist()
                 some = [i for i, t in enumerate(texts) if t is not None]
                 flat, counts = tool.encode([texts[i] for i in some])
-                ends = np.cumsum(counts)
+                ends, listed = np.cumsum(counts), flat.tolist()
                 parity, trip, sizes = [None] * len(texts), [None] * len(texts), np.zeros(len(texts), np.int64)
-                for i, a, b in zip(some, ends - counts, ends, strict=True):
+                for i, a, b in zip(some, (ends - counts).tolist(), ends.tolist(), strict=True):
                     sizes[i] = b - a
-                    trip[i] = tool.decode(flat[a:b]) == texts[i]
+                    ids = listed[a:b]
+                    trip[i] = tool.decode(ids) == texts[i]
                     if i % check_one_in == 0:
-                        parity[i] = tool.oracle.encode(texts[i]) == flat[a:b].tolist()
+                        parity[i] = tool.oracle.encode(texts[i]) == ids
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 null = np.array([t is None for t in texts], bool)
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(sizes, pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(sizes, pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
 
     return kept.mapInArrow(trimmed_batches(run), schema)
 

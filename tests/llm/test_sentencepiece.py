@@ -28,7 +28,7 @@ def test_parity(texts):
 
 
 def test_fixed_texts_and_forgetting(tool, monkeypatch):
-    monkeypatch.setattr(sp, "KEPT_UNITS", 3)
+    monkeypatch.setattr(sp, "KEPT_CHARS", 12)
     for t in TEXTS * 2:
         flat, counts = tool.encode([t])
         assert flat.tolist() == tool.oracle.encode(t) and counts.tolist() == [len(flat)]
