@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
-Every distinct shingle set has ``trees`` signatures. A tree is the sorted sequence of all its signatures, which is its prefix
-trie; it is range-partitioned over the cluster. Matched prefixes are shortened from ``max_depth`` until a pair at the threshold
-is found in some tree with the target recall. Sets below one trie node are linked by a star, not by pairs. Within a connected
-group of stars all pairs are verified exactly, large groups in blocks, by counting common shingles; only each set's number of
-links and a spanning edge leave the task.
+Every distinct shingle set has ``trees`` signatures of ``max_depth`` values. A tree is the sorted sequence of all its signatures, which is
+its prefix trie; it is range-partitioned over the cluster. Along the sequence each set meets the first set of the trie node that it shares
+with the one before it, at the depth of that node: a star per node, not pairs, and the stars down to any depth link what that
+depth links. The longest matches say how alike the links of this corpus are; matched prefixes are shortened from there until the
+least alike of them is found in some tree with the target recall. Within a connected group of stars all pairs are verified exactly, large
+groups in blocks, by counting common shingles; only each set's number of links and a spanning edge leave the task.
 """
 
 import math
@@ -23,18 +24,25 @@ from graphloom.sources.tables import cut
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
-MAX_DEPTH = 12
+MAX_DEPTH = 8
+MARGIN = 0.05  # below the threshold, at which a similarity told by signatures may still be a link's
 RECALL = 0.9999
 BLOCK = 1024  # sets of a large group compared as one block
+CELL_BYTES = 8 << 20  # of shingles in such a block
 TASK_BYTES = 16 << 20
 RARE = 32
 SEED = 20240229
 
 
-def depth_for(recall: float, threshold: float, trees: int = TREES, max_depth: int = MAX_DEPTH) -> int:
-    """The longest prefix, shortening from ``max_depth``, at which a pair at the threshold shares it in some tree with the recall."""
+def found_at(similarity: float, depth: int, trees: int = TREES) -> float:
+    """How likely a pair shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def depth_for(recall: float, similarity: float, trees: int = TREES, max_depth: int = MAX_DEPTH) -> int:
+    """The longest prefix, shortening from ``max_depth``, that pairs of this similarity share in some tree with the recall."""
     for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+        if found_at(similarity, depth, trees) >= recall:
             return depth
     raise ValueError("the target recall needs more trees")
 
@@ -165,17 +173,20 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
     return i[ok], j[ok]
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, trees: int = TREES) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, trees: int = TREES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per row of ``docs``: its id, ``class_id`` (the least id among the documents that links reach), ``n_links`` (other
     documents whose sets of ``size``-word shingles have a Jaccard similarity of at least ``threshold`` with its own, copies included),
     ``n_shingles``, and ``kept`` (whether it stands for its class; of rows that repeat the least id, all do).
 
-    Words are runs of other characters than space and U+0009 to U+000D, unchanged. A text without words (or null) links with nothing.
-    A null id takes part, but is never a class id unless no other id is in the class.
+    ``recall``: how likely a link as little alike as any of this corpus is found (the same in every row), at least the one asked for.
+
+    Words are runs of other characters than space and U+0009 to U+000D, unchanged. A text without words (null, empty) links with nothing
+    and is its own class. A null id takes part, but is never a class id unless no other id is in the class. Repeated rows and ties are
+    copies of one another. An empty table gives an empty one; other columns do not matter.
     """
     small_batches(docs.sparkSession)
-    depth = depth_for(recall, threshold, trees)
-    span = 1 + 2 * depth
+    least = depth_for(recall, threshold, trees, max_depth)
+    span = 1 + 2 * max_depth
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,17 +197,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keys = np.empty((len(some), trees, span), np.uint8)
                 keys[:, :, 0] = np.arange(trees)
                 if len(some):
-                    keys[:, :, 1:] = signatures(flat, counts[some], trees * depth).astype(">u2").view(np.uint8).reshape(len(some), trees, 2 * depth)
+                    keys[:, :, 1:] = signatures(flat, counts[some], trees * max_depth).astype(">u2").view(np.uint8).reshape(len(some), trees, 2 * max_depth)
                 values = pa.Array.from_buffers(pa.binary(), keys.shape[0] * trees, [None, pa.py_buffer(np.arange(keys.shape[0] * trees + 1, dtype=np.int32) * span), pa.py_buffer(keys.tobytes())])
                 filled = np.zeros(len(counts) + 1, np.int32)
                 filled[some + 1] = trees
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(filled), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), pa.array(h1), pa.array(h2), pa.array(counts), lists], ["id", "h1", "h2", "n", "keys"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(source.mapInArrow(trimmed_batches(sign), "id long, h1 long, h2 long, n long, keys array<binary>"), "forest-signatures")
-    sets = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "forest-sets")
-    candidates = connected_components(_trie_edges(sets.select(F.explode("keys").alias("key"), F.col("h1").alias("node")), span), name="forest-candidates")
+                own = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("id"), pa.array(h1), pa.array(h2), pa.array(counts), lists], ["row", "id", "h1", "h2", "n", "keys"])
+
+    # rows are numbered and written, so that texts are found again by number: ids may be null or repeat
+    source = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "forest-rows")
+    signed = cut(source.mapInArrow(trimmed_batches(sign), "row long, id long, h1 long, h2 long, n long, keys array<binary>"), "forest-signatures")
+    sets = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("row"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "forest-sets")
+    stars = cut(_trie_edges(sets.select(F.explode("keys").alias("key"), F.col("h1").alias("node")), span, least), "forest-edges")
+    alike = _least_alike(stars.where(F.col("depth") >= max_depth), sets, threshold)
+    depth = depth_for(recall, alike, trees, max_depth)
+    candidates = connected_components(stars.where(F.col("depth") >= depth), name="forest-candidates")
     links = cut(_verify(source, sets.drop("keys"), candidates, threshold, size), "forest-links")
     classes = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")), name="forest-classes").select(F.col("id").alias("h1"), "component")
     totals = links.groupBy(F.col("node").alias("h1"), F.col("node2").alias("h2")).agg(F.sum("links").alias("links"))
@@ -204,52 +220,77 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
     found = placed.join(least, "component").select("h1", "h2", "n", "class_id", "links")
     own = sets.select("h1", "h2", "n", "rep", "copies")
-    joined = signed.drop("keys").join(own, ["h1", "h2", "n"], "left").join(found, ["h1", "h2", "n"], "left")
+    joined = signed.drop("keys", "row").join(own, ["h1", "h2", "n"], "left").join(found, ["h1", "h2", "n"], "left")
     class_id = F.coalesce("class_id", "rep", "id")
-    return joined.select(F.col("id").alias(id_col), class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), class_id.eqNullSafe(F.col("id")).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), class_id.eqNullSafe(F.col("id")).alias("kept"), F.lit(found_at(alike, depth, trees)).alias("recall"))
 
 
-def _trie_edges(rows: DataFrame, span: int) -> DataFrame:
-    """Stars ``(src, dst)`` of the trie nodes that hold two sets or more. ``rows``: (key: tree and prefix, node)."""
+def _trie_edges(rows: DataFrame, span: int, least: int) -> DataFrame:
+    """``(src, dst, depth)``: stars of the trie nodes of at least ``least`` values that hold two sets or more. ``rows``: (key: tree and
+    signature, node)."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = (span - 1) // 2
+    names = ["src", "dst", "depth", "edge"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head, ends = None, None, []
+        last, heads, rims = None, {}, []  # the head of the open trie node at each depth
+
+        def rim() -> None:
+            rims.extend((heads[d], d, last[0, : 1 + 2 * d].tobytes()) for d in heads)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = b"".join(batch.column("key").to_pylist())
-            keys, node = np.frombuffer(raw, f"V{span}"), batch.column("node").to_numpy()
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            carried = last is not None and keys[0].tobytes() == last
-            new[0] = not carried
-            at = np.flatnonzero(new)
-            heads = node[at]
-            group = np.cumsum(new) - 1
-            to = np.where(group >= 0, heads[np.maximum(group, 0)] if len(heads) else 0, head if head is not None else 0)
-            if last is None:
-                ends.append((keys[0].tobytes(), int(to[0])))
-            last, head = keys[-1].tobytes(), int(to[-1])
-            far = node != to
-            if far.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(to[far]), pa.nulls(int(far.sum()), pa.binary())], ["src", "dst", "edge"])
+            keys, node = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, span), batch.column("node").to_numpy()
+            before = np.concatenate([keys[:1] if last is None else last, keys[:-1]])
+            same = keys == before
+            shared = np.logical_and.accumulate(same[:, 1::2] & same[:, 2::2], axis=1).sum(1) * same[:, 0]
+            shared[0] *= last is not None
+            first, last = last is None, keys[-1:].copy()
+            at = np.arange(len(keys))
+            for d in range(least, most + 1):
+                start = np.maximum.accumulate(np.where(shared < d, at, -1))
+                head = np.where(start >= 0, node[np.maximum(start, 0)], heads.get(d, 0))
+                far = (shared == d) & (head != node)
+                if far.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(head[far]), pa.array(np.full(far.sum(), d, np.int32)), pa.nulls(int(far.sum()), pa.binary())], names)
+                heads[d] = int(head[-1])
+            if first:
+                rims += [(int(node[0]), d, keys[0, : 1 + 2 * d].tobytes()) for d in heads]
         if last is not None:
-            ends.append((last, head))
-            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in ends]), pa.array([x for _, x in ends]), pa.array([k for k, _ in ends], pa.binary())], ["src", "dst", "edge"])
+            rim()
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rims]), pa.array([x[0] for x in rims]), pa.array([x[1] for x in rims], pa.int32()), pa.array([x[2] for x in rims], pa.binary())], names)
+
+    # the node is part of the range key, so a trie node that holds a third of all sets spans partitions; its parts meet by their prefix
+    stars = cut(rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(runs), "src long, dst long, depth int, edge binary"), "forest-stars")
+    rims = stars.where("edge is not null").select("src", "depth", "edge")
+    across = rims.join(rims.groupBy("edge").agg(F.min("src").alias("dst")), "edge").select("src", "dst", "depth")
+    return stars.where("edge is null").select("src", "dst", "depth").unionByName(across).where("src <> dst").groupBy("src", "dst").agg(F.max("depth").alias("depth"))
+
+
+def _least_alike(longest: DataFrame, sets: DataFrame, threshold: float) -> float:
+    """The least similarity, as signatures tell it, of the longest matches that can be links; the threshold if there are none. Whatever
+    is as alike as the threshold has a good chance of being among the longest matches, so if any such pairs are there, they show."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                u, v = (np.frombuffer(b"".join(z), np.uint8).reshape(len(z), -1)[:, 1:].reshape(-1, 2) for z in (x, y))
+                told.append(float((u == v).all(1).mean()))
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.float64())], ["alike"])
 
-    # the node is part of the range key, so a trie node that holds a third of all sets spans partitions
-    stars = cut(rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(trimmed_batches(runs), "src long, dst long, edge binary"), "forest-stars")
-    rims = stars.where("edge is not null").select("src", "edge")
-    across = rims.join(rims.groupBy("edge").agg(F.min("src").alias("dst")), "edge").select("src", "dst")
-    return stars.where("edge is null").select("src", "dst").unionByName(across).where("src <> dst").distinct()
+    side = lambda end, name: sets.select(F.col("h1").alias(end), F.col("keys").alias(name))
+    met = longest.select("src", "dst").join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b").mapInArrow(compare, "alike double")
+    low = met.where(F.col("alike") >= threshold - MARGIN).agg(F.min("alike")).first()[0]
+    return threshold if low is None else min(1.0, max(threshold, low - MARGIN))
 
 
 def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold: float, size: int) -> DataFrame:
     """Per set and task: its links (in documents) and the root of its linked group. ``candidates``: (id, component)."""
     members = cut(sets.join(candidates.withColumnRenamed("id", "h1"), "h1"), "forest-members")
-    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / CELL_BYTES)).cast("int")
     planned = cut(members.join(groups, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")), "forest-plan")
     total = planned.agg(F.sum(F.col("n") * 8 * F.col("blocks"))).first()[0] or 0
     tasks = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
@@ -258,13 +299,10 @@ def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
         for batch in batches:
             for start, texts in _chunks(batch, "text"):
                 flat, counts = shingle_sets(texts, size)
-                h1, _ = _set_hashes(flat, counts)
                 part = batch.slice(start, len(texts))
-                ok = np.flatnonzero(h1 == part.column("h1").to_numpy())  # of rows that repeat an id, those with this set
                 ends = np.cumsum(counts)
-                raw = [flat[ends[i] - counts[i] : ends[i]].tobytes() for i in ok]
-                keep = part.take(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([*(keep.column(c) for c in ("h1", "h2", "copies", "component", "blocks", "block")), pa.array(raw, pa.binary())], ["h1", "h2", "copies", "component", "blocks", "block", "shingles"])
+                raw = [flat[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h1", "h2", "copies", "component", "blocks", "block")), pa.array(raw, pa.binary())], ["h1", "h2", "copies", "component", "blocks", "block", "shingles"])
 
     def compare(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_numpy() for c in ("h1", "h2", "copies", "component", "low", "high", "block")}
@@ -274,13 +312,13 @@ def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
         fresh = np.ones(len(order), bool)
         same = (c["component"][1:] == c["component"][:-1]) & (c["low"][1:] == c["low"][:-1]) & (c["high"][1:] == c["high"][:-1])
         fresh[1:] = ~same
-        again = np.zeros(len(order), bool)  # copies of one row
-        again[1:] = same & (c["h1"][1:] == c["h1"][:-1]) & (c["h2"][1:] == c["h2"][:-1])
         at = np.flatnonzero(fresh)
         out = []
         for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
-            pick = np.arange(lo, hi)[~again[lo:hi]]
+            pick = np.arange(lo, hi)
             crossed = c["low"][lo] != c["high"][lo]
+            if crossed and (c["block"][pick] == c["block"][lo]).all():
+                continue  # the other block has no sets
             i, j = linked_pairs([np.frombuffer(raw[int(order[x])].as_py(), np.uint64) for x in pick], c["block"][pick] if crossed else np.zeros(len(pick), int), threshold)
             if len(i):
                 weight = np.bincount(i, c["copies"][pick][j], len(pick)) + np.bincount(j, c["copies"][pick][i], len(pick))
@@ -290,9 +328,9 @@ def _verify(source: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("node", "node2", "root", "links"), parts, strict=True)))
 
-    wanted = planned.select(F.col("rep").alias("id"), "h1", "h2", "copies", "component", "blocks", "block")
+    wanted = planned.select("row", "h1", "h2", "copies", "component", "blocks", "block")
     # a sort-merge join whatever the size of ``wanted``, so that cost grows in proportion
-    texts = source.join(wanted.hint("merge"), source["id"].eqNullSafe(wanted["id"])).select(source["text"], *(wanted[c] for c in ("h1", "h2", "copies", "component", "blocks", "block")))
+    texts = source.join(wanted.hint("merge"), "row").select("text", "h1", "h2", "copies", "component", "blocks", "block")
     filled = texts.mapInArrow(trimmed_batches(shingles), "h1 long, h2 long, copies long, component long, blocks int, block int, shingles binary")
     spread = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     cells = spread.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks)))

@@ -38,14 +38,44 @@ def expected(rows, threshold=0.8):
 
 def test_join_equals_brute_force(spark):
     rows = near_docs()
-    got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    joined = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert joined.first().recall >= forest.RECALL
+    got = joined.drop("recall").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows)))
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 2 else 7, " ".join(f"v{rng.randrange(40)}" for _ in range(30))) for i in range(400)]
+    rows += [(None, rows[i][1]) for i in range(50)] + [(8, rows[3][1] + " more")]
+    got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).drop("recall").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows)))
+
+
+def test_prefixes_stay_long_where_only_copies_are_alike(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    deep, depths = forest.depth_for, []
+    forest.depth_for = lambda *a: depths.append(deep(*a)) or depths[-1]
+    try:
+        got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        forest.depth_for = deep
+    assert depths[1] > depths[0] and sum(r.kept for r in got) == 40 and all(r.n_links == 1 for r in got)
+
+
+def test_sizes_of_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(forest, "CELL_BYTES", 2000)
+    rows = near_docs(5)
+    got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).drop("recall").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows)))
 
 
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK", 4)
     rows = near_docs(3)
-    got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = forest.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).drop("recall").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected(rows)))
 
 
