@@ -4,6 +4,11 @@ Windows of ``length`` consecutive words are routed to shards (see :mod:`graphloo
 hold them. In a shard, windows that recur are confirmed by a count of their hashes, compiled into Aho-Corasick automata over
 word numbers, and all of the shard's text is streamed through them to locate every occurrence; the automaton compares words, so a
 hash decides nothing but what is compiled.
+
+The routed text is all text that can match. A pattern is a window, so each of its occurrences is a window with the same words; its anchor
+depends on these words alone, so the occurrence lies in a segment with that anchor, and all segments of an anchor go to one shard.
+What is not routed are segments whose anchor no other segment has, in any document: no window of theirs occurs twice. Streaming
+them would find nothing; ``tests/llm/test_passages.py`` holds this against windows counted one by one.
 """
 
 import hashlib

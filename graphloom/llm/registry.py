@@ -1,9 +1,15 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-import corpus_pipeline
 from graphloom.llm import bm25, epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
 
 
+def pipeline(spark, sf_dir):
+    """The stages of ``corpus_pipeline.py`` at the top of the repository, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_warc_salvage": warc.op1_warc_salvage,
@@ -16,7 +22,7 @@ def queries():
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
         "op10_bm25_topk": bm25.op10_bm25_topk,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
