@@ -1,7 +1,10 @@
 """A training-corpus pipeline: language ID, near-duplicate removal, repeated-passage removal, source mixing, tokenising.
 
 Each stage takes ``(spark, docs, sf_dir)``, where ``docs`` is what the stage before has kept, and its decisions take effect: rows
-or bytes that it rejects are gone for the next one. All but the last return the columns of ``documents``.
+or bytes that it rejects are gone for the next one. All but the last return the columns of ``documents``; other columns are left out,
+whatever their names. An empty table goes through as one. Nulls: a null text has no language, so its row goes in the first stage; null
+ids, languages and sources are kept, see the stages. Repeated rows and texts with one language score are treated alike; near
+duplicates keep one of them. No text is too long: whole texts go through every stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,8 @@ MIN_SCORE = 0.4  # below it the network has no opinion; four languages alike wou
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without letters, and texts whose language the network cannot tell. Labels decide nothing here."""
+    """Reject texts without letters (null and empty ones too), and texts whose language the network cannot tell. Labels decide nothing
+    here, and null labels teach nothing; without any labelled row no language is known, and every row goes."""
     model = langid.fit(docs.where(~langid.held_out()))
     judged = langid.predict(docs, model, pred_col="__pred", score_col="__score")
     return judged.where((F.col("__pred") != "und") & (F.col("__score") >= MIN_SCORE)).select(*COLUMNS)
@@ -30,18 +34,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that an earlier document has are cut out; documents of which nothing is left go."""
+    """Bytes of passages that a document with a smaller id has are cut out; documents of which nothing is left go. Rows with a null id
+    are cut nowhere and cut nothing; rows that share an id do not cut one another. A null text stays null."""
     left = suffix_array.remove_repeated_bytes(docs.select(*COLUMNS), keep_text="text").where("n_removed = 0 or n_removed < n_bytes")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents to the target weights of sources, languages and topics."""
+    """Sample documents to the target weights of sources, languages and topics. Null sources and languages are strata of their own; rows
+    without a word go, as they have no weight; rows with one id and text go or stay together."""
     return mixing.mix(docs).where("sampled").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their parity with the reference library's, and a round trip back to its text."""
+    """Token ids of each document, their parity with the reference library's, and a round trip back to its text. A null text has null
+    in all of these, an empty one no ids."""
     return sentencepiece_backend.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "token_ids", "parity", "round_trip")
 
 
