@@ -36,3 +36,46 @@ def test_empty_table(spark):
     docs = table(spark, [])
     for _, stage in cp.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage on what the one before kept, with a very long text, repeated rows and columns that operators also use."""
+    import hashlib
+
+    import brute
+    from sentencepiece import SentencePieceProcessor
+
+    from graphloom.llm import mixing, sentencepiece_backend
+
+    rows = corpus()
+    passage = " ".join(f"shared{i}" for i in range(12))
+    rows += [(300, rows[9][1][:150] + " " + passage, "en", "s2", 0), (301, passage + " " + " ".join(f"{w}{i}" for i, w in enumerate(rows[11][1].split())), "en", None, 0)]
+    rows += [(302, " ".join(f"{w}{i % 977}" for i, w in enumerate(rows[13][1].split() * 3000)), "en", "s2", 0), rows[20], rows[21], (None, rows[22][1] + " mit", "de", "s1", 0)]
+    docs = table(spark, rows).selectExpr("*", "'x' as class_id", "1 as topic", "'y' as score", "2 as token_ids", "true as kept", "3 as n_removed")
+    told = cp.language_id(spark, docs, "")
+    judged = [tuple(r) for r in told.collect()]
+    assert len(judged) == len(rows) - 3
+    # one of each group of near copies, and rows without an id
+    sets = [brute.shingles(t) for _, t, *_ in judged]
+    links = [(i, j) for i in range(len(judged)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = brute.components(range(len(judged)), links)
+    least = {}
+    for i, (d, *_) in enumerate(judged):
+        least[group[i]] = min(least.get(group[i], 10**9), 10**9 if d is None else d)
+    want = {(d, t) for i, (d, t, *_) in enumerate(judged) if d is None or d == least[group[i]]}
+    clash = lambda df: df.selectExpr("*", "'x' as class_id", "1 as topic", "'y' as score", "true as kept", "3 as n_removed", "'z' as weight")
+    near = [tuple(r) for r in cp.near_duplicates(spark, clash(table(spark, judged)), "").collect()]
+    assert sorted(map(str, ((d, t) for d, t, *_ in near))) == sorted(map(str, want))
+    cut = [tuple(r) for r in cp.repeated_passages(spark, clash(table(spark, near)), "").collect()]
+    plain = {str(d): (n, gone, sha) for d, n, gone, _, sha in brute.repeated_bytes([(d, t) for d, t, *_ in near if d != 302], 50)}
+    got = {str(d): t for d, t, *_ in cut}
+    assert set(got) - {"302"} == {d for d, (n, gone, _) in plain.items() if not gone or gone < n} and passage[10:40] not in got["301"]
+    assert all(hashlib.sha256(t.encode()).hexdigest() == plain[d][2] for d, t in got.items() if d != "302" and t.isascii())
+    mixed = cp.source_mixing(spark, clash(table(spark, cut)), "")
+    chosen = {(r.doc_id, r.text) for r in mixed.collect()}
+    rule = {(r.doc_id, r.text) for r in mixing.mix(table(spark, cut)).collect() if r.sampled}
+    assert chosen == rule and chosen <= {(d, t) for d, t, *_ in cut} and mixed.columns == cp.COLUMNS
+    reference = SentencePieceProcessor(model_file=sentencepiece_backend.DEFAULT_MODEL)
+    for r in cp.encode(spark, clash(mixed), "").collect():
+        (text,) = [t for d, t in chosen if d == r.doc_id]
+        assert r.parity and r.round_trip and list(r.token_ids) == reference.encode(text)
