@@ -20,7 +20,7 @@ SAME_REGION = VRel("SAME_REGION", Hop("IN_REGION", "Nation", "Region"), Hop("IN_
 BASE = ViewConfig(("Nation", "Region", "Supplier"), (Rel("IN_REGION", ("Nation",), ("Region",)), Rel("IN_NATION", ("Supplier",), ("Nation",))), ())
 WHOLE = ViewConfig(BASE.labels, BASE.rels, (SAME_REGION, VRel("IN", Hop("IN_NATION", "Supplier", "Nation"), Hop("IN_REGION", "Nation", "Region")), VRel("NEAR", Hop("IN_NATION", "Supplier", "Nation"), Hop("SAME_REGION", "Nation", "Nation"))))
 PATTERN_RELS = [Rel("PLACED", ("Customer",), ("Order",)), Rel("CONTAINS", ("Order",), ("Part",)), Rel("SUBST", ("Part",), ("Part",)), Rel("IN_NATION", ("Customer", "Supplier"), ("Nation",))]
-QUERY_SHARE = 20  # the queries of searches whose whole table is the result: messages whose number it divides
+QUERY_SHARE = 20  # the queries of the search for candidates: messages whose number it divides, against the whole graph
 
 graph = lambda s, d: (warehouse.nodes(s, d), warehouse.edges(s, d))
 labelled = lambda s, d: model.label_edges(warehouse.nodes(s, d).select("id", "labels"), warehouse.edges(s, d))
@@ -216,7 +216,7 @@ def mixed_similarity(s, d):
     return linking.similarity(pairs).select("msg_id", "d_id", F.round("sim", 6).alias("sim"), F.round("alias", 6).alias("alias"))
 
 
-def _linked(s, d, share: int = 1):
+def _linked(s, d, share: int = QUERY_SHARE):
     q, e = query_graph(s, d, share)
     nodes, edges = stored(s, d)
     top = tables.cut(linking.top_k(linking.similarity(linking.candidates(q, nodes, 0.8))), "catalog-top")
@@ -224,7 +224,7 @@ def _linked(s, d, share: int = 1):
 
 
 def top_k_candidates(s, d):
-    q, *_, top = _linked(s, d, QUERY_SHARE)
+    q, *_, top = _linked(s, d)
     return top.join(_named(q), ["msg_id", "q_id"]).select("msg_id", "label", "d_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -245,7 +245,7 @@ def joint_assignment(s, d):
 
 def joint_assignment_groups(s, d):
     """Messages whose nodes form groups of three: customer, nation and region."""
-    q, e = query_graph(s, d, 1, True)
+    q, e = query_graph(s, d, QUERY_SHARE, True)
     nodes, edges = stored(s, d, ("Customer", "Nation", "Region"), ("IN_NATION", "IN_REGION"))
     top = tables.cut(linking.top_k(linking.similarity(linking.candidates(q, nodes, 0.8))), "catalog-top")
     found = linking.assign(top, tables.cut(linking.support(e, top, edges), "catalog-support"))

@@ -55,6 +55,12 @@ def _q(body: str) -> str:
     return f"WITH RECURSIVE {PRELUDE.strip()}\n{body}"
 
 
+def _searched(sql: str) -> str:
+    """The same for the messages that are queries of a search."""
+    joined = "JOIN region ON n_regionkey = r_regionkey)"
+    return sql.replace(joined, f"{joined[:-1]} WHERE c_custkey % 20 = 0)")
+
+
 _TEXT = "concat_ws(';', CASE WHEN {a} IS NOT NULL THEN 'acctbal=' || CAST({a} AS DOUBLE) END, 'name=' || {n}, CASE WHEN {s} IS NOT NULL THEN 'segment=' || {s} END)"
 _HAS = "list_contains({0}, '{1}')"
 _PARTY_IN = "list_contains(sl, 'Customer') AND list_contains(dl, 'Nation') AND type = 'IN_NATION'"
@@ -126,12 +132,12 @@ FROM (SELECT s_suppkey * 8 + 3 AS a, (s_suppkey % 5) * 8 AS b FROM supplier) p""
 UNION ALL SELECT CAST(s_suppkey AS BIGINT), n_name || '2', 'ABOUT', CASE WHEN s_suppkey % 3 > 0 THEN 'Nation' ELSE 'Customer' END, CASE WHEN s_suppkey % 3 > 0 THEN n_name || '2' ELSE '' END FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "entity_nodes": _q("SELECT msg_id, CAST(1 AS BIGINT) AS ordinal, 'Customer' AS label, name, CAST(3 AS BIGINT) AS n_props FROM q UNION ALL SELECT msg_id, 2, 'Nation', nation, 1 FROM q"),
     "entity_edges": _q("SELECT msg_id, name AS src, 'IN_NATION' AS type, nation AS dst FROM q"),
-    "blocked_pairs": _q("SELECT msg_id, label, count(*) AS n, min(d_id) AS least, max(d_id) AS most FROM sims WHERE msg_id % 20 = 0 GROUP BY msg_id, label"),
-    "node_similarity": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim FROM sims WHERE msg_id % 20 = 0"),
+    "blocked_pairs": _q("SELECT msg_id, label, count(*) AS n, min(d_id) AS least, max(d_id) AS most FROM sims GROUP BY msg_id, label"),
+    "node_similarity": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim FROM sims"),
     "mixed_similarity": f"""SELECT x.c AS msg_id, y.c AS d_id, round(1 - ((1 - 1 / (1 + abs(x.nation - y.nation))) + CASE WHEN x.rich = y.rich THEN 0 ELSE 1 END + {_LEAST('seg', 'tail')}) / 3, 6) AS sim, round({_LEAST('name', 'seg')}, 6) AS alias
 FROM (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) x
 JOIN (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) y ON y.c = x.c + 1""",
-    "top_k_candidates": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim, rank FROM top WHERE msg_id % 20 = 0"),
+    "top_k_candidates": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim, rank FROM top"),
     "structural_support": _q("SELECT msg_id, 'IN_NATION' AS type, d_src, d_dst FROM sup"),
     "joint_assignment": _q("SELECT msg_id, label, d_id FROM assigned"),
     "joint_assignment_groups": _q("""SELECT msg_id, unnest(['Customer', 'Nation', 'Region']) AS label, unnest([c_id, n_id, r_id]) AS d_id FROM (SELECT m.msg_id, a.d_id AS c_id, b.d_id AS n_id, r.d_id AS r_id,
@@ -161,3 +167,5 @@ pats AS"""),
     "stream_dead_letters": f"SELECT reason, count(*) AS n, min(value) AS least FROM (SELECT value, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' ELSE CASE WHEN g <> 1 THEN 'unknown class' END END AS reason FROM ({_LINE})) WHERE reason IS NOT NULL GROUP BY reason",
     "stream_new_entities": "SELECT CAST(s_suppkey % 2 + 1 AS BIGINT) AS gid, n_name AS name, CAST(max(s_suppkey) AS BIGINT) AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
 }
+for _name in ("blocked_pairs", "node_similarity", "top_k_candidates", "structural_support", "joint_assignment", "joint_assignment_groups", "merge_props", "rewire_edges", "updated_labels"):
+    SQL[_name] = _searched(SQL[_name])
