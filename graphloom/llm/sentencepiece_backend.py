@@ -29,8 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-CHUNK_CHARS = 4 << 20
-KEPT_CHARS = 6 << 20  # of words that are remembered with their encodings
+CHUNK_CHARS = 1 << 20
+KEPT_CHARS = 2 << 20  # of words that are remembered with their encodings
 UNIT = re.compile(f"{METASPACE}*[^{METASPACE}]+|{METASPACE}+")
 
 
