@@ -129,7 +129,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _local(path: str, shipped: bool) -> str:
+def local_path(path: str, shipped: bool) -> str:
     return SparkFiles.get(os.path.basename(path)) if shipped else path
 
 
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
         docs.sparkSession.sparkContext.addFile(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(_local(model_path, ship))
+        tool = codec(local_path(model_path, ship))
         for batch in batches:
             lengths = np.cumsum(np.nan_to_num(np.array(pc.utf8_length(batch.column(text_col)).to_numpy(zero_copy_only=False), float)))
             cuts = np.unique([0, *(np.flatnonzero(np.diff(lengths // CHUNK_CHARS)) + 1), len(lengths)])
@@ -182,7 +182,7 @@ def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "t
         tokens.sparkSession.sparkContext.addFile(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(_local(model_path, ship))
+        tool = codec(local_path(model_path, ship))
         for batch in batches:
             texts = [None if x is None else tool.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
