@@ -1,6 +1,6 @@
 """Queries of the operators, with SQL where SQL can express them."""
 
-from graphloom.llm import bm25, epsilon_grid, forest, langid, mixing, phrases, sentencepiece_backend, suffix_array, toolcalls, warc
+from graphloom.llm import bm25, divergence, epsilon_grid, forest, langid, mixing, phrases, repair, sentencepiece_backend, suffix_array, toolcalls, transducer, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,9 +22,12 @@ def queries():
         "op8_sentencepiece": sentencepiece_backend.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
         "op10_bm25_topk": bm25.op10_bm25_topk,
+        "op11_conversation_repair": repair.op11_conversation_repair,
+        "op12_token_counts": transducer.op12_token_counts,
+        "op13_source_divergence": divergence.op13_source_divergence,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op1_warc_salvage": warc.OP1_SQL, "op7_embedding_near_dedup": epsilon_grid.OP7_SQL}
+    return {"op1_warc_salvage": warc.OP1_SQL, "op7_embedding_near_dedup": epsilon_grid.OP7_SQL, "op13_source_divergence": divergence.OP13_SQL}
