@@ -16,12 +16,18 @@ def property_words(props: Column) -> Column:
     return F.array_distinct(words(F.array_join(texts, " ")))
 
 
+def names(props: Column) -> Column:
+    """The names of a node, trimmed, without blanks: one, or the texts of a list."""
+    name = props["name"]
+    some = F.when(name["kind"] == "list", F.transform(name["arr"], lambda x: F.trim(x["str"]))).otherwise(F.array(F.trim(name["str"])))
+    return F.filter(F.coalesce(some, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+
+
 def edge_keywords(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(edge_id, keywords)``: once each the labels and names of both ends and the words of all their properties; then the start's labels
-    twice, both names once and the words of both names once. Blanks are left out; sorted, as a bag has no order."""
-    ends = nodes.select("id", "labels", F.trim(F.col("props")["name"]["str"]).alias("name"), property_words(F.col("props")).alias("words"))
-    side = lambda end, i: ends.select(F.col("id").alias(end), F.col("labels").alias(f"l{i}"), F.col("name").alias(f"n{i}"), F.col("words").alias(f"w{i}"))
-    names = F.filter(F.array("n1", "n2"), lambda x: x.isNotNull() & (x != ""))
-    distinct = F.array_distinct(F.concat("l1", "l2", names, "w1", "w2"))
-    weighted = F.concat(distinct, "l1", "l1", names, words(F.col("n1")), words(F.col("n2")))
+    twice, the names of both once and the words of these once (a name may be a list of names). Blanks are left out; sorted, as a bag has no order."""
+    ends = nodes.select("id", "labels", names(F.col("props")).alias("names"), property_words(F.col("props")).alias("words"))
+    side = lambda end, i: ends.select(F.col("id").alias(end), F.col("labels").alias(f"l{i}"), F.col("names").alias(f"n{i}"), F.col("words").alias(f"w{i}"))
+    distinct = F.array_distinct(F.concat("l1", "l2", "n1", "n2", "w1", "w2"))
+    weighted = F.concat(distinct, "l1", "l1", "n1", "n2", words(F.array_join("n1", " ")), words(F.array_join("n2", " ")))
     return edges.join(side("src", 1), "src").join(side("dst", 2), "dst").select("edge_id", F.array_sort(weighted).alias("keywords"))

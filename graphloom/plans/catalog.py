@@ -20,6 +20,7 @@ SAME_REGION = VRel("SAME_REGION", Hop("IN_REGION", "Nation", "Region"), Hop("IN_
 BASE = ViewConfig(("Nation", "Region", "Supplier"), (Rel("IN_REGION", ("Nation",), ("Region",)), Rel("IN_NATION", ("Supplier",), ("Nation",))), ())
 WHOLE = ViewConfig(BASE.labels, BASE.rels, (SAME_REGION, VRel("IN", Hop("IN_NATION", "Supplier", "Nation"), Hop("IN_REGION", "Nation", "Region")), VRel("NEAR", Hop("IN_NATION", "Supplier", "Nation"), Hop("SAME_REGION", "Nation", "Nation"))))
 PATTERN_RELS = [Rel("PLACED", ("Customer",), ("Order",)), Rel("CONTAINS", ("Order",), ("Part",)), Rel("SUBST", ("Part",), ("Part",)), Rel("IN_NATION", ("Customer", "Supplier"), ("Nation",))]
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 QUERY_SHARE = 20  # the queries of the search for candidates: messages whose number it divides, against the whole graph
 
 graph = lambda s, d: (warehouse.nodes(s, d), warehouse.edges(s, d))
@@ -216,6 +217,22 @@ def mixed_similarity(s, d):
     return linking.similarity(pairs).select("msg_id", "d_id", F.round("sim", 6).alias("sim"), F.round("alias", 6).alias("alias"))
 
 
+def sparse_links(s, d):
+    """Suppliers against customers where either side has but some of the properties: what both have decides, whatever other rows have."""
+    def side(table: str, key: str, entries: dict[str, tuple[F.Column, F.Column]]) -> DataFrame:
+        held = F.array(*(F.when(there, F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, (there, v) in entries.items()))
+        props = F.map_from_entries(F.filter(held, lambda e: e.isNotNull()))
+        return s.read.parquet(f"{d}/{table}.parquet").select(F.lit(1).cast("long").alias("gid"), F.col(key).cast("long").alias(key), F.array(F.lit("Party")).alias("labels"), props.alias("props"))
+
+    text, number, k = (lambda c: model.prop("str", c)), (lambda c: model.prop("num", c)), F.col("c_custkey")
+    stored_ = side("customer", "c_custkey", {"name": (k % 4 != 1, text(F.col("c_name"))), "acctbal": (k % 4 != 2, number(F.col("c_acctbal"))), "segment": (k % 4 != 3, text(F.col("c_mktsegment"))), "code": (k % 2 == 0, number(F.col("c_nationkey")))}).withColumnRenamed("c_custkey", "id")
+    k = F.col("s_suppkey")
+    segment = F.element_at(F.array(*(F.lit(x) for x in SEGMENTS)), (k % 5 + 1).cast("int"))
+    asked = side("supplier", "s_suppkey", {"name": (k % 3 != 1, text(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")))), "acctbal": (k % 3 != 2, number(F.col("s_acctbal"))), "segment": (k % 2 == 0, text(segment)), "mark": (k % 5 == 0, text(F.col("s_name")))})
+    asked = asked.select(F.col("s_suppkey").alias("msg_id"), "gid", F.lit(0).cast("long").alias("q_id"), "labels", "props")
+    return linking.similarity(linking.candidates(asked, stored_, 0.8)).where("sim >= 0.8").select("msg_id", "d_id", F.round("sim", 6).alias("sim"))
+
+
 def _linked(s, d, share: int = QUERY_SHARE):
     q, e = query_graph(s, d, share)
     nodes, edges = stored(s, d)
@@ -403,6 +420,7 @@ def queries():
         "blocked_pairs": blocked_pairs,
         "node_similarity": node_similarity,
         "mixed_similarity": mixed_similarity,
+        "sparse_links": sparse_links,
         "top_k_candidates": top_k_candidates,
         "structural_support": structural_support,
         "joint_assignment": joint_assignment,

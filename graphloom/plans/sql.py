@@ -137,6 +137,12 @@ UNION ALL SELECT CAST(s_suppkey AS BIGINT), n_name || '2', 'ABOUT', CASE WHEN s_
     "mixed_similarity": f"""SELECT x.c AS msg_id, y.c AS d_id, round(1 - ((1 - 1 / (1 + abs(x.nation - y.nation))) + CASE WHEN x.rich = y.rich THEN 0 ELSE 1 END + {_LEAST('seg', 'tail')}) / 3, 6) AS sim, round({_LEAST('name', 'seg')}, 6) AS alias
 FROM (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) x
 JOIN (SELECT c_custkey AS c, c_name AS name, c_mktsegment AS seg, substr(c_name, length(c_name) - 2, 3) AS tail, c_acctbal > 5000 AS rich, CAST(c_nationkey AS DOUBLE) AS nation FROM customer) y ON y.c = x.c + 1""",
+    "sparse_links": """WITH d AS (SELECT c_custkey AS d_id, CASE WHEN c_custkey % 4 <> 1 THEN substr(c_name, 1, 20) END AS name, CASE WHEN c_custkey % 4 <> 2 THEN c_acctbal::DOUBLE END AS acctbal, CASE WHEN c_custkey % 4 <> 3 THEN c_mktsegment END AS segment FROM customer),
+q AS (SELECT s_suppkey AS msg_id, CASE WHEN s_suppkey % 3 <> 1 THEN substr(replace(s_name, 'Supplier', 'Customer'), 1, 20) END AS name, CASE WHEN s_suppkey % 3 <> 2 THEN s_acctbal::DOUBLE END AS acctbal,
+  CASE WHEN s_suppkey % 2 = 0 THEN ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][s_suppkey % 5 + 1] END AS segment FROM supplier),
+x AS (SELECT msg_id, d_id, levenshtein(q.name, d.name) / greatest(length(q.name), length(d.name)) AS a, 1 - 1 / (1 + abs(q.acctbal - d.acctbal)) AS b, levenshtein(q.segment, d.segment) / greatest(length(q.segment), length(d.segment)) AS c FROM q, d),
+y AS (SELECT msg_id, d_id, 1 - (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0) AS sim FROM x)
+SELECT msg_id::BIGINT AS msg_id, d_id::BIGINT AS d_id, round(sim, 6) AS sim FROM y WHERE sim >= 0.8""",
     "top_k_candidates": _q("SELECT msg_id, label, d_id, round(sim, 6) AS sim, rank FROM top"),
     "structural_support": _q("SELECT msg_id, 'IN_NATION' AS type, d_src, d_dst FROM sup"),
     "joint_assignment": _q("SELECT msg_id, label, d_id FROM assigned"),

@@ -66,6 +66,13 @@ def test_edge_keywords(spark):
     assert got["by|1|3|1"] == sorted(["Film", "Empty", "Red Sun", "Red", "Sun", "Film", "Film", "Red Sun", "Red", "Sun"])
 
 
+def test_keywords_of_several_names(spark):
+    text = lambda x: {"kind": "str", "num": None, "str": x, "bool": None}
+    both = {"kind": "list", "num": None, "str": None, "bool": None, "arr": [text("ann bo"), text(" "), text("Eve")]}
+    n, e = make(spark, [(1, ["P"], {"name": both}), (2, ["Q"], {"name": VALUE("cy dee")})], [(1, "r", 2)])
+    assert edge_keywords(n, e).first().keywords == sorted(["P", "Q", "ann bo", "Eve", "cy dee", "ann", "bo", "cy", "dee", "P", "P", "ann bo", "Eve", "cy dee", "ann", "bo", "Eve", "cy", "dee"])
+
+
 def property_bag(spark, values):
     df = props(spark, [(values, {})])
     return df.select(F.array_sort(property_words(F.col("q_props"))).alias("w")).first().w
