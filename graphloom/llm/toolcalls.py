@@ -64,7 +64,8 @@ def references(calls: DataFrame) -> DataFrame:
 
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` of the calls that refer to other calls of their conversation: one more than the highest level
-    among these; null on a cycle or behind one. ``calls``: one row per identifier, with arguments. References to unknown calls do not count.
+    among these; null on a cycle or behind one. ``calls``: identifiers with arguments; the references of all rows of one count. References to
+    unknown calls do not.
     """
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
     edges = cut(references(calls).join(known, ["conv_id", "ref"], "left_semi"), "calls-edges")
@@ -209,7 +210,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -
     """One row per call, and one per result that is in no call's record.
 
     ``calls``: conv_id, call_id, turn, tool, arguments (JSON); ``results``: conv_id, call_id, turn, content. Other columns are
-    ignored. ``status``: ``duplicate`` (an earlier turn has the identifier), ``unanswered``, ``early`` (its first result is not behind
+    ignored. ``status``: ``duplicate`` (an earlier turn has the identifier; calls of one turn
+    and identifier stand beside each other, at one level), ``unanswered``, ``early`` (its first result is not behind
     it), ``linked``, ``extra`` (a result after the first of its call), or ``orphan`` (a result without a call). ``n_results``: the results of
     the identifier. ``level``: topological level within the conversation, 0 without references, null on or behind a cycle, and for
     results; (level, turn, call_id) is a topological order. ``valid`` and ``fault``: arguments against the tool's schema; malformed or null
@@ -225,7 +227,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -
     told = distinct.where(whole).groupBy(*KEYS).agg(F.min(order).alias("r"), F.sum("n").alias("n_results")).select(*KEYS, F.col("r.content").alias("result"), F.col("r.col1").alias("result_turn"), "n_results")
     first = calls.where(whole).groupBy(*KEYS).agg(F.min(F.struct(F.coalesce("turn", F.lit(1 << 62)).alias("turn"), "arguments")).alias("c")).select(*KEYS, F.col("c.turn").alias("first_turn"), F.col("c.arguments").alias("arguments"))
     first = cut(first, "calls-first")
-    depth = levels(first).withColumn("deep", F.lit(True))
+    # calls of one identifier and turn that differ in their arguments: the references of all count
+    openers = calls.where(whole).withColumn("at", F.coalesce("turn", F.lit(1 << 62))).join(first.select(*KEYS, F.col("first_turn").alias("at")), [*KEYS, "at"], "left_semi").select(*KEYS, "arguments").distinct()
+    depth = levels(openers).withColumn("deep", F.lit(True))
     ids = cut(first.drop("arguments").join(depth, KEYS, "left").join(told, KEYS, "full"), "calls-ids")
     joined = calls.join(ids.where("first_turn is not null").hint("shuffle_hash"), KEYS, "left")
     status = F.when(F.col("turn") > F.col("first_turn"), "duplicate").when(F.col("n_results").isNull(), "unanswered").when(F.col("result_turn") <= F.col("first_turn"), "early").otherwise("linked")

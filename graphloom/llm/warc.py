@@ -28,6 +28,7 @@ BLOCKS_PER_FILE = 8
 MAX_RECORD_BYTES = 512 << 20
 FEED = 64 << 10
 WINDOW = 32 << 20
+FEED_PROBE, PROBE, STEP = 1024, 512, 16  # of a probe of a gzip head: bytes it reads, gives, and gives at a time
 
 RECORD_SCHEMA = (
     "path string, start long, end long, kind string, reason string, record_id string, record_type string, target_uri string, "
@@ -153,13 +154,17 @@ def parse_record(data: bytes, at: int, end: int) -> tuple[dict, int]:
 
 
 def _before_fault(inflate, piece: memoryview) -> bytes:
-    """What a piece that does not decompress gives before the fault."""
-    parts = []
-    try:
-        for i in range(len(piece)):
-            parts.append(inflate.decompress(piece[i : i + 1]))
-    except zlib.error:
-        pass
+    """What a piece that does not decompress gives before the fault: the longest start that does, found by halving."""
+    parts, at, step = [], 0, 1 << len(piece).bit_length()
+    while step:
+        trial = inflate.copy()
+        try:
+            part = trial.decompress(piece[at : at + step])
+            inflate, at = trial, at + step
+            parts.append(part)
+        except zlib.error:
+            pass
+        step //= 2
     return b"".join(parts)
 
 
@@ -215,6 +220,22 @@ def _walk(data: bytes, at: int) -> Iterator[tuple[str, int, int, dict]]:
     yield "end", base, pos - len(inflate.unused_data), {"reason": fault}
 
 
+def _hopeless(data: bytes, at: int) -> bool:
+    """Whether what looks like a gzip head at ``at`` cannot begin a member with a record: it does not inflate as far as ``PROBE`` bytes, and what it
+    gives has no version line. (Fewer bytes than ``STEP`` before the fault are not looked at; no record is as short.)"""
+    inflate, out, piece = zlib.decompressobj(31), b"", data[at : at + FEED_PROBE]
+    try:
+        while len(out) < PROBE and not inflate.eof:
+            part = inflate.decompress(piece, STEP)
+            piece = inflate.unconsumed_tail
+            if not part and not piece:
+                return False
+            out += part
+    except zlib.error:
+        return VERSION_STEM not in out
+    return False
+
+
 def _reach(data: bytes, at: int, size: int) -> int:
     """Where in the file the member at ``at`` has given ``size`` bytes."""
     inflate, out, view, pos, step = zlib.decompressobj(31), 0, memoryview(data), at, FEED
@@ -275,12 +296,21 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict]]:
     ``inner_start`` and ``inner_end``, that of the decompressed bytes. A member that is cut or fails its check ends with its last valid
     record; a gap follows (empty if another start does at once)."""
     pos, gap, why, n = 0, None, "", len(data)
+    hits = dict.fromkeys((GZIP_MAGIC, VERSION_STEM), -1)  # the next of each, found once and kept until it is passed
+
+    def ahead(first: int) -> int:
+        for sought, hit in hits.items():
+            if hit < first:
+                found = data.find(sought, first)
+                hits[sought] = found if found >= 0 else n
+        return min(hits.values())
+
     while pos < n:
         if gap is None and data[pos] in b"\x00\r\n":
             pos += 1
             continue
         if data[pos : pos + 3] == GZIP_MAGIC:
-            items, stop, fault = _member(data, pos)
+            items, stop, fault = (iter(()), None, "member does not decompress") if _hopeless(data, pos) else _member(data, pos)
         else:
             try:
                 fields, stop = parse_record(data, pos, n)
@@ -300,9 +330,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict]]:
         if gap is None:
             gap, why = (stop if some else pos), fault
         if some or stop is None:
-            first = stop if some else pos + 1
-            ahead = [x for x in (data.find(GZIP_MAGIC, first), data.find(VERSION_STEM, first)) if x >= 0]
-            pos = min(ahead, default=n)
+            pos = ahead(stop if some else pos + 1)
         else:
             pos = stop
     if gap is not None:

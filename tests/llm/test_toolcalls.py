@@ -106,3 +106,10 @@ JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_
 def test_canonical_keeps_values(value):
     text = tc.canonical(tc.load(json.dumps(value)))
     assert json.loads(text) == json.loads(json.dumps(value)) and tc.canonical(tc.load(text)) == text and text.encode()
+
+
+def test_calls_of_one_identifier_and_turn(spark):
+    """The references of all of them count, so the order holds."""
+    c = spark.createDataFrame([("c", "2", 1, "f", '{"b": 1}'), ("c", "2", 1, "f", '{"z": {"$ref": "3"}}'), ("c", "3", 0, "f", '{"a": {"$ref": "4"}}'), ("c", "4", 0, "f", "{}")], "conv_id string, call_id string, turn long, tool string, arguments string")
+    r = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    assert sorted((x.call_id, x.level, x.status) for x in tc.link(c, r, {}).collect()) == [("2", 2, "unanswered"), ("2", 2, "unanswered"), ("3", 1, "unanswered"), ("4", 0, "unanswered")]

@@ -141,3 +141,17 @@ def test_round_trip_of_pages(spark, tmp_path):
 def warc_id(x):
     tail = x.rpartition(":")[2] if x else None
     return int(tail) if tail and tail != "None" else None
+
+
+def test_false_heads_cost_little():
+    """Starts of members that are none, one in 64 bytes, then a record: found, and in a time that grows with the bytes."""
+    import random
+    import time
+
+    r = random.Random(2)
+    noise = b"".join(warc.GZIP_MAGIC + r.randbytes(61) for _ in range(1 << 15))
+    record = warc.gzip_member(warc.record_bytes("urn:page:1", "response", "http://x", b"kept " * 50, hashlib.sha1(b"kept " * 50).hexdigest(), None, "2024-01-01T00:00:00Z"))
+    start = time.monotonic()
+    found = [(kind, a, b) for kind, a, b, _ in warc.salvage(noise + record + noise[:640] + record)]
+    assert [x for x in found if x[0] == "record"] == [("record", len(noise), len(noise) + len(record)), ("record", len(noise) + len(record) + 640, len(noise) + 2 * len(record) + 640)]
+    assert time.monotonic() - start < 20
