@@ -41,7 +41,8 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
 def reach_in_k(edges: DataFrame, pairs: DataFrame, k: int, directed: bool = False) -> DataFrame:
     """``(a, b, reach)``: whether b is at most ``k`` edges from a. A node reaches itself; a null or a node without edges reaches nothing else.
 
-    Frontiers of both ends grow in turn, each from its distinct nodes only, and stop at nodes seen before; pairs that have met leave.
+    Frontiers of both ends grow in turn, each from its distinct nodes only, and stop at nodes seen before. A pair leaves once it has met, and
+    with it the frontiers and the nodes seen of ends that no other pair asks for.
     """
     if k < 1:
         raise ValueError("k is at least 1")
@@ -52,17 +53,24 @@ def reach_in_k(edges: DataFrame, pairs: DataFrame, k: int, directed: bool = Fals
     ahead = ahead.where("x <> y").distinct()
     back = back.where("x <> y").distinct()
     asked = pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    seen = {"a": asked.select(F.col("a").alias("root")).distinct().withColumn("node", F.col("root")), "b": asked.select(F.col("b").alias("root")).distinct().withColumn("node", F.col("root"))}
-    front = dict(seen)
+    asked = cut(asked, "reach-asked")
+    seen = {side: asked.select(F.col(side).alias("root")).distinct().withColumn("node", F.col("root")) for side in "ab"}
+    front, waiting, found = dict(seen), asked, None
     for step in range(k):
-        side, steps = ("a", ahead) if step % 2 == 0 else ("b", back)
+        side, other, steps = ("a", "b", ahead) if step % 2 == 0 else ("b", "a", back)
         fresh = front[side].join(steps, F.col("node") == F.col("x")).select("root", F.col("y").alias("node")).distinct().join(seen[side], ["root", "node"], "left_anti")
         front[side] = cut(fresh, "reach-front")
+        new = front[side].select(F.col("root").alias(side), "node")
+        met = cut(waiting.join(new, side).join(seen[other].select(F.col("root").alias(other), "node"), [other, "node"], "left_semi").select("a", "b").distinct(), "reach-met")
+        found = met if found is None else found.unionByName(met)
+        waiting = cut(waiting.join(met, ["a", "b"], "left_anti"), "reach-waiting")
+        if waiting.isEmpty():
+            break
         seen[side] = seen[side].unionByName(front[side])
-    left = seen["a"].select(F.col("root").alias("a"), "node")
-    right = seen["b"].select(F.col("root").alias("b"), "node")
-    met = asked.join(left, "a").join(right, ["b", "node"], "left_semi").select("a", "b").distinct()
-    out = pairs.select("a", "b").join(met.withColumn("met", F.lit(True)), ["a", "b"], "left")
+        for end in "ab":
+            left = waiting.select(F.col(end).alias("root")).distinct()
+            front[end], seen[end] = (x.join(left, "root", "left_semi") for x in (front[end], seen[end]))
+    out = pairs.select("a", "b").join(found.withColumn("met", F.lit(True)), ["a", "b"], "left")
     return out.select("a", "b", (F.coalesce(F.col("a") == F.col("b"), F.lit(False)) | F.coalesce("met", F.lit(False))).alias("reach"))
 
 

@@ -76,21 +76,36 @@ def distinct_edges(a_n: str, a_edge: str, b_n: str, b_edge: str) -> Column:
     return ~((F.col(a_n) == 1) & (F.col(b_n) == 1) & (F.col(a_edge) == F.col(b_edge)))
 
 
+def _by_paths(side: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a side whose far node has one middle node only, and the rows of the others. No row is moved for the first: its columns come with the count."""
+    carried = [c for c in side.columns if c not in (end, "mid")]
+    met = side.groupBy(end).agg(F.count(F.lit(1)).alias("mids"), F.min("mid").alias("mid"), *(F.min(c).alias(c) for c in carried))
+    return met.where("mids = 1").select(*side.columns), side.join(met.where("mids > 1").select(end), end, "left_semi").select(*side.columns)
+
+
 def compose_vrel(le: DataFrame, vrel: VRel) -> DataFrame:
     """Distinct ``(src, dst)`` of two-hop paths through two different edges.
 
     Parallel edges are folded to one row per pair of nodes before the join; one edge can be both hops only where the ends are equal, and
     never where the hops differ in type: then no edge id is carried. The join is by the middle node; a hub's rows are split by the
-    adaptive skew join.
+    adaptive skew join. A pair one of whose ends has a single middle node is met once, so only pairs of ends that both have several go
+    through a shuffle to be made distinct: the pairs of a hub whose nodes belong to nothing else, of which there may be the square, never do.
     """
-    if vrel.first.type != vrel.second.type:
+    apart = vrel.first.type != vrel.second.type
+    if apart:
         one, two = (_ends(le, hop, *ends) for hop, ends in zip((vrel.first, vrel.second), _hop_ends(vrel.first, vrel.second), strict=True))
-        return one.withColumnRenamed("end", "src").join(two.withColumnRenamed("end", "dst"), "mid").select("src", "dst").distinct()
-    one, two = two_sides(le, vrel.first, vrel.second)
-    one = one.select("mid", F.col("end").alias("src"), F.col("n").alias("n1"), F.col("edge").alias("e1"))
-    two = two.select("mid", F.col("end").alias("dst"), F.col("n").alias("n2"), F.col("edge").alias("e2"))
-    met = one.join(two, "mid").where((F.col("src") != F.col("dst")) | distinct_edges("n1", "e1", "n2", "e2"))
-    return met.select("src", "dst").distinct()
+        one, two = one.withColumnRenamed("end", "src"), two.withColumnRenamed("end", "dst")
+    else:
+        one, two = two_sides(le, vrel.first, vrel.second)
+        one = one.select("mid", F.col("end").alias("src"), F.col("n").alias("n1"), F.col("edge").alias("e1"))
+        two = two.select("mid", F.col("end").alias("dst"), F.col("n").alias("n2"), F.col("edge").alias("e2"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        rows = left.join(right, "mid")
+        return (rows if apart else rows.where((F.col("src") != F.col("dst")) | distinct_edges("n1", "e1", "n2", "e2"))).select("src", "dst")
+
+    (one_lone, one_many), (two_lone, two_many) = _by_paths(one, "src"), _by_paths(two, "dst")
+    return met(one_lone, two).unionByName(met(one_many, two_lone)).unionByName(met(one_many, two_many).distinct())
 
 
 def _tagged(pairs: DataFrame, type_: str, provenance: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom.functions import keywords, similarity
-from graphloom.operators import algebra, closure, evaluation, linking, patterns, profile, views
+from graphloom.operators import algebra, closure, condense, evaluation, linking, patterns, profile, views
 from graphloom.plans.config import Hop, Rel, ViewConfig, VRel, dump, read
 from graphloom.sources import files, tables, warehouse
 from graphloom.streaming import ingest
@@ -95,6 +95,30 @@ def reach(s, d):
     return algebra.reach_in_k(near, suppliers, 2)
 
 
+def both_ways(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Substitutions of parts, and those that hold the other way too: of parts whose number three divides. Together they have cycles."""
+    one = customer_pairs(s, d)
+    return one, one.where(F.expr("(src div 8) % 3 = 0")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _looped(s, d):
+    one, back = both_ways(s, d)
+    return one.unionByName(back)
+
+
+def reach_by_class(s, d):
+    """Whether each part may become another one by any number of substitutions."""
+    key = F.col("p_partkey").cast("long")
+    asked = s.read.parquet(f"{d}/part.parquet").select((key * 8 + 4).alias("a"), ((F.floor(key / 4) + key % 3) * 8 + 4).alias("b"))
+    return condense.reaches(asked, *condense.condensed_closure(_looped(s, d)))
+
+
+def extended_closure(s, d):
+    """What the closure of the substitutions lacks once some of them hold the other way too."""
+    one, back = both_ways(s, d)
+    return condense.extend_closure(closure.transitive_closure(one), back)
+
+
 CLASSES = """{"data": {
  "Customer": {"objectProperty": {"IN_NATION": {"domain": ["Customer"], "range": ["Nation"]}}, "datatypeProperty": {"name": {"domain": ["Customer"], "range": ["string"]}, "acctbal": {"domain": ["Customer"], "range": ["double"]}, "segment": {"domain": ["Customer"], "range": ["string"]}}},
  "Nation": {"objectProperty": {"IN_REGION": {"domain": ["Nation"], "range": ["Region"]}, "NEAR": {"domain": ["Nation"], "range": ["Supplier", "Customer"]}, "ABOUT": {"domain": ["Nation"], "range": []}},
@@ -392,6 +416,10 @@ def queries():
         "symmetric_closure": lambda s, d: closure.symmetric_closure(customer_pairs(s, d)),
         "transitive_closure": lambda s, d: closure.transitive_closure(customer_pairs(s, d)),
         "equivalence_closure": lambda s, d: closure.equivalence_closure(views.compose_vrel(le(s, d), SAME_REGION)),
+        "strong_components": lambda s, d: condense.strong_components(_looped(s, d)),
+        "closure_by_class": lambda s, d: condense.closure_pairs(*condense.condensed_closure(_looped(s, d))),
+        "reach_by_class": reach_by_class,
+        "extended_closure": extended_closure,
         "closure_delta": lambda s, d: closure.closure_delta(customer_pairs(s, d), False, True),
         "gen_view": gen_view,
         "expand_view": expand_view,
@@ -401,6 +429,7 @@ def queries():
         "rel_frequency_all": lambda s, d: profile.rel_frequencies(le(s, d)),
         "domain_range": lambda s, d: profile.domain_range(le(s, d)).select("type", F.array_join("domain", ",").alias("domain"), F.array_join("range", ",").alias("range")),
         "rel_types": lambda s, d: profile.rel_types(warehouse.edges(s, d)),
+        "rel_types_page": lambda s, d: profile.rel_types(warehouse.edges(s, d), limit=20_000, skip=50_000),
         "infer_view_config": inferred,
         "two_hop_type_pairs": lambda s, d: patterns.two_hop_type_pairs(warehouse.edges(s, d)),
         "induced_subgraph": induced,

@@ -71,6 +71,8 @@ UNION ALL SELECT src, dst, 'SAME_REGION', 'vrel' FROM same_region
 UNION ALL SELECT src, dst, 'SAME_REGION', 'vrel-closure' FROM (SELECT * FROM region_all EXCEPT SELECT * FROM same_region)
 UNION ALL SELECT * FROM (SELECT DISTINCT a.src, b.dst, 'IN' AS type, 'vrel' AS provenance FROM le a JOIN edges b ON a.dst = b.src WHERE a.type = 'IN_NATION' AND list_contains(a.sl, 'Supplier') AND b.type = 'IN_REGION')
 UNION ALL SELECT * FROM (SELECT DISTINCT a.src, b.dst, 'NEAR' AS type, 'vrel' AS provenance FROM le a JOIN region_all b ON a.dst = b.src WHERE a.type = 'IN_NATION' AND list_contains(a.sl, 'Supplier'))"""
+# substitutions that hold both ways where three divides the part's number, and their closure
+_LOOPS = "loops AS (SELECT src, dst FROM subst UNION SELECT dst, src FROM subst WHERE (src // 8) % 3 = 0),\nlooped(src, dst) AS (SELECT src, dst FROM loops UNION SELECT r.src, s.dst FROM looped r JOIN loops s ON r.dst = s.src)"
 _REACH = "reach(src, dst) AS (SELECT src, dst FROM subst UNION SELECT r.src, s.dst FROM reach r JOIN subst s ON r.dst = s.src)"
 _CLASSES = """(VALUES ('Customer', 'object', 'IN_NATION', 'Customer', 'Nation'), ('Customer', 'datatype', 'name', 'Customer', 'string'), ('Customer', 'datatype', 'acctbal', 'Customer', 'double'), ('Customer', 'datatype', 'segment', 'Customer', 'string'),
   ('Nation', 'object', 'IN_REGION', 'Nation', 'Region'), ('Nation', 'object', 'NEAR', 'Nation', 'Customer,Supplier'), ('Nation', 'object', 'ABOUT', 'Nation', ''), ('Nation', 'datatype', 'name', 'Nation', 'string'), ('Nation', 'datatype', 'lower', 'Nation', 'string'),
@@ -94,6 +96,12 @@ SQL = {
     "symmetric_closure": _q("SELECT src, dst FROM subst UNION SELECT dst, src FROM subst"),
     "transitive_closure": _q("SELECT src, dst FROM reach").replace("pats AS", _REACH + ",\npats AS"),
     "equivalence_closure": _q("SELECT src, dst FROM region_all"),
+    "strong_components": _q("""SELECT i.id, least(i.id, coalesce(m.least, i.id)) AS component FROM (SELECT src AS id FROM loops UNION SELECT dst FROM loops) i
+LEFT JOIN (SELECT x.src AS id, min(x.dst) AS least FROM looped x JOIN looped y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src) m ON m.id = i.id""").replace("pats AS", _LOOPS + ",\npats AS"),
+    "closure_by_class": _q("SELECT src, dst FROM looped").replace("pats AS", _LOOPS + ",\npats AS"),
+    "reach_by_class": _q("""SELECT p.a, p.b, l.src IS NOT NULL AS reach FROM (SELECT p_partkey * 8 + 4 AS a, (p_partkey // 4 + p_partkey % 3) * 8 + 4 AS b FROM part) p
+LEFT JOIN looped l ON l.src = p.a AND l.dst = p.b""").replace("pats AS", _LOOPS + ",\npats AS"),
+    "extended_closure": _q("SELECT src, dst FROM looped EXCEPT SELECT src, dst FROM reach").replace("pats AS", _LOOPS + ",\n" + _REACH + ",\npats AS"),
     "closure_delta": _q("SELECT src, dst FROM reach EXCEPT SELECT src, dst FROM subst").replace("pats AS", _REACH + ",\npats AS"),
     "gen_view": _q(_VIEW),
     "expand_view": _q(_VIEW),
@@ -107,6 +115,7 @@ UNION ALL SELECT 'b', EXISTS (SELECT 1 FROM le WHERE type = 'IN_NATION' AND list
     "rel_frequency_all": _q("SELECT s AS start, type AS rel, e AS \"end\", n, n / sum(n) OVER (PARTITION BY s, e) AS frequency FROM (SELECT s, e, type, count(*) AS n FROM (SELECT unnest(sl) AS s, dl, type FROM le), unnest(dl) u(e) GROUP BY s, e, type)"),
     "domain_range": _q("SELECT d.type, domain, range FROM (SELECT type, string_agg(DISTINCT s, ',' ORDER BY s) AS domain FROM (SELECT type, unnest(sl) AS s FROM le) GROUP BY type) d JOIN (SELECT type, string_agg(DISTINCT e, ',' ORDER BY e) AS range FROM (SELECT type, unnest(dl) AS e FROM le) GROUP BY type) r ON d.type = r.type"),
     "rel_types": _q("SELECT DISTINCT type FROM edges"),
+    "rel_types_page": _q("SELECT DISTINCT type FROM (SELECT type FROM edges ORDER BY edge_id LIMIT 20000 OFFSET 50000)"),
     "infer_view_config": _q("SELECT 'label' AS kind, x AS name, NULL AS label FROM (SELECT unnest(sl) AS x FROM le UNION SELECT unnest(dl) FROM le) UNION ALL SELECT DISTINCT 'start', type, unnest(sl) FROM le UNION ALL SELECT DISTINCT 'end', type, unnest(dl) FROM le"),
     "two_hop_type_pairs": _q("""SELECT t1 AS type1, t2 AS type2, CAST(sum(d1 * d2 - CASE WHEN t1 = t2 THEN d1 ELSE 0 END) AS BIGINT) AS n FROM (
   SELECT a.node, a.type AS t1, b.type AS t2, a.d AS d1, b.d AS d2 FROM deg a JOIN deg b ON a.node = b.node) GROUP BY t1, t2 HAVING n > 0""").replace("pats AS", "deg AS (SELECT node, type, count(*) AS d FROM (SELECT edge_id, type, src AS node FROM edges UNION SELECT edge_id, type, dst FROM edges) GROUP BY node, type),\npats AS"),

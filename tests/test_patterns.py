@@ -72,3 +72,24 @@ def test_two_hop_pairs_with_a_loop(spark):
             if i != j:
                 plain[t, u] = plain.get((t, u), 0) + len(a & b)
     assert got == plain
+
+
+def test_pairs_that_have_met_leave_the_frontiers(spark, monkeypatch):
+    """A star whose pairs meet at once, and a path whose pair does not: from the second step on only the path's frontier grows."""
+    star = [(0, "t", i) for i in range(1, 40)] + [(i, "t", 100 + i) for i in range(1, 40)]
+    path = [(200 + i, "t", 201 + i) for i in range(6)]
+    _, e = make(spark, [node(0, "A")], star + path)
+    asked = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(200, 206), (200, 999)], "a long, b long")
+    grown = []
+    one = algebra.cut
+
+    def counted(df, name):
+        out = one(df, name)
+        if name == "reach-front":
+            grown.append(out.count())
+        return out
+
+    monkeypatch.setattr(algebra, "cut", counted)
+    got = {(r.a, r.b): r.reach for r in algebra.reach_in_k(e, asked, 6).collect()}
+    assert got == {**{(0, i): True for i in range(1, 40)}, (200, 206): True, (200, 999): False}
+    assert grown[0] == 40 and max(grown[1:]) <= 2

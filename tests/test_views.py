@@ -69,3 +69,18 @@ def test_config_order_and_round_trip():
     whole = ViewConfig(("A", "人物"), (Rel("x", ("A",), ("A",), True, False),), (a, b))
     assert config.parse(config.dump(whole)) == whole
     assert config.new_vrels(ViewConfig((), (), (a, b)), ViewConfig((), (), (a, a, c))) == (a, c)
+
+
+@pytest.mark.parametrize("second", [Hop("a", "C", "C", True), Hop("b", "C", "C"), Hop("b", "C", "C", True), Hop("a", "C", "C")])
+def test_pairs_come_once_whatever_the_number_of_middle_nodes(spark, second):
+    """Nodes with one middle node and with several, loops and parallel edges, against all pairs of edges."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), rng.choice("ab"), rng.randrange(12)) for _ in range(40)] + [(3, "a", 3), (1, "a", 2), (1, "a", 2), (50, "a", 51), (52, "a", 51), (51, "b", 53)]
+    n, e = make(spark, [node(i, "C") for i in (*range(12), 50, 51, 52, 53)], rows)
+    first = Hop("a", "C", "C")
+    edges = [(i, s, t, d) for i, (s, t, d) in enumerate(rows)]
+    turned = [(i, d, s) if second.inverse else (i, s, d) for i, s, t, d in edges if t == second.type]
+    want = {(s, d) for i, s, t, m in edges if t == "a" for j, m2, d in turned if m2 == m and i != j}
+    assert pairs(views.compose_vrel(label_edges(n, e), VRel("V", first, second))) == sorted(want)
