@@ -88,7 +88,7 @@ def compose_vrel(le: DataFrame, vrel: VRel) -> DataFrame:
 
     Parallel edges are folded to one row per pair of nodes before the join; one edge can be both hops only where the ends are equal, and
     never where the hops differ in type: then no edge id is carried. The join is by the middle node; a hub's rows are split by the
-    adaptive skew join. A pair one of whose ends has a single middle node is met once, so only pairs of ends that both have several go
+    adaptive skew join. A start with a single middle node meets each end once, so only the pairs of starts that have several go
     through a shuffle to be made distinct: the pairs of a hub whose nodes belong to nothing else, of which there may be the square, never do.
     """
     apart = vrel.first.type != vrel.second.type
@@ -104,8 +104,8 @@ def compose_vrel(le: DataFrame, vrel: VRel) -> DataFrame:
         rows = left.join(right, "mid")
         return (rows if apart else rows.where((F.col("src") != F.col("dst")) | distinct_edges("n1", "e1", "n2", "e2"))).select("src", "dst")
 
-    (one_lone, one_many), (two_lone, two_many) = _by_paths(one, "src"), _by_paths(two, "dst")
-    return met(one_lone, two).unionByName(met(one_many, two_lone)).unionByName(met(one_many, two_many).distinct())
+    lone, several = _by_paths(one, "src")
+    return met(lone, two).unionByName(met(several, two).distinct())
 
 
 def _tagged(pairs: DataFrame, type_: str, provenance: str) -> DataFrame:
