@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import pytest
 from graphs import make, node, props
@@ -135,3 +136,42 @@ def test_messages_are_taken_in_order(spark, tmp_path, monkeypatch, files_per_bat
 def people(spark, *gids):
     text = json.dumps({"data": {"Person": {"objectProperty": {}, "datatypeProperty": {"name": {"domain": ["Person"], "range": ["string"]}, "age": {"domain": ["Person"], "range": ["int"]}}}}})
     return files.flatten_schema(spark.createDataFrame([(g, text) for g in gids], "gid long, value string"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_base_is_read_by_graph_and_not_moved(spark, tmp_path, monkeypatch):
+    """Rows laid over a base move none of it; the graphs of a batch name the folders that are read; another session finds the buckets."""
+    store = str(tmp_path / "st'ore")
+    base = [(g, i, ["A"], {"name": VALUE(f"{g}-{i}")}, None, None) for g in range(40) for i in range(5)]
+    nodes, edges = spark.createDataFrame(base, ingest.NODES), spark.createDataFrame([(g, i, "r", i + 1) for g in range(40) for i in range(4)], ingest.EDGES)
+    ingest.save_base(nodes, edges, store, -1)
+    changed = spark.createDataFrame([(3, 1, ["A"], {"name": VALUE("new")}, None, None), (None, 9, ["A"], {}, None, None)], ingest.NODES)
+    ingest.save_changes(changed, spark.createDataFrame([(3, 1, "s", 4), (5, 0, "s", 1)], ingest.EDGES), spark.createDataFrame([(3, 7)], "gid long, upto long"), store, 0)
+    for name in ingest.KEYS:  # as in a session of its own
+        spark.sql(f"DROP TABLE {ingest._table(store, name, -1)}")
+    asked = spark.createDataFrame([(3,), (3,), (99,), (None,)], "gid long")
+    some, links = ingest.state(spark, store, gids=asked)
+    assert sorted((r.gid, r.id, r.props["name"]["str"]) for r in some.collect()) == [(3, i, "new" if i == 1 else f"3-{i}") for i in range(5)]
+    assert sorted(map(tuple, links.collect())) == [*((3, i, "r", i + 1) for i in range(1)), (3, 1, "r", 2), (3, 1, "s", 4), (3, 2, "r", 3), (3, 3, "r", 4)]
+    every, links = ingest.state(spark, store)
+    assert every.count() == 201 and links.count() == 162
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", _plan(some))
+    # no broadcast, as with many changes
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(ingest.state(spark, store)[0].where("id >= 0"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "Scan parquet" in x and "Bucketed: true" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for x in reversed(lines[:scan]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    join = next(i for i, x in enumerate(above) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in above[:join]), plan
