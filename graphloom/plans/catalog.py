@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import model
-from graphloom.functions import keywords, similarity
+from graphloom.functions import keywords, segment, similarity
 from graphloom.operators import algebra, closure, condense, evaluation, linking, patterns, profile, views
 from graphloom.plans.config import Hop, Rel, ViewConfig, VRel, dump, read
 from graphloom.sources import files, tables, warehouse
@@ -362,6 +362,14 @@ def edge_keywords(s, d):
     return keywords.edge_keywords(nodes, edges).select("edge_id", F.array_join("keywords", " ").alias("keywords"))
 
 
+def segmented_names(s, d):
+    """The words of every part's name as it stands without spaces, over a lexicon learned from all of these."""
+    parts = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("run"))
+    lexicon = segment.learn(parts, "run", "[a-z]+", longest=6, rounds=0)
+    found = segment.segment(parts.select("run"), lexicon, longest=6)
+    return parts.join(found, "run").select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
 def list_graph(s, d):
     n, e = algebra.list_graph(*graph(s, d))
     nodes = n.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("item"))
@@ -467,6 +475,7 @@ def queries():
         "entity_csv": entity_csv,
         "triples_to_graph": triples_to_graph,
         "edge_keywords": edge_keywords,
+        "segmented_names": segmented_names,
         "stream_ingest": stream_ingest,
         "stream_dead_letters": stream_dead_letters,
         "stream_new_entities": stream_new_entities,

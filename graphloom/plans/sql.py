@@ -178,6 +178,18 @@ SELECT msg_id::BIGINT AS msg_id, d_id::BIGINT AS d_id, round(sim, 6) AS sim FROM
   s.labels, s.labels, [s.name, d.name], {_WORDS.format('s.name')}, {_WORDS.format('d.name')})), ' ') AS keywords
 FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst JOIN texts v ON v.id = e.src JOIN texts w ON w.id = e.dst""").replace("pats AS", f"""texts AS (SELECT n.id, list_distinct({_WORDS.format("concat_ws(' ', n.name, n.segment, p_brand, p_type, o_orderstatus)")}) AS words FROM nodes n LEFT JOIN part ON n.id = p_partkey * 8 + 4 LEFT JOIN orders ON n.id = o_orderkey * 8 + 5),
 pats AS"""),
+    "segmented_names": """WITH RECURSIVE runs AS (SELECT replace(p_name, ' ', '') AS run, count(*) AS n FROM part WHERE replace(p_name, ' ', '') <> '' GROUP BY 1),
+spans AS (SELECT run, n, e, k, substr(run, e - k + 1, k) AS piece FROM (SELECT run, n, unnest(range(1, length(run) + 1)) AS e FROM runs), (SELECT unnest(range(1, 8)) AS k) WHERE k <= e),
+counts AS (SELECT piece, length(piece) AS size, sum(n) AS c FROM spans GROUP BY piece HAVING length(piece) = 1 OR sum(n) >= 5),
+total AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM counts WHERE size = 1),
+continued AS (SELECT piece, max(c) AS most FROM (SELECT substr(piece, 1, size - 1) AS piece, c FROM counts WHERE size > 1 UNION ALL SELECT substr(piece, 2) AS piece, c FROM counts WHERE size > 1) GROUP BY piece),
+halves AS (SELECT piece, c, substr(piece, 1, CAST(i AS INT)) AS a, substr(piece, CAST(i AS INT) + 1) AS b FROM (SELECT piece, c, unnest(range(1, size)) AS i FROM counts WHERE size BETWEEN 2 AND 6)),
+bound AS (SELECT h.piece, h.c FROM halves h JOIN counts x ON x.piece = h.a JOIN counts y ON y.piece = h.b CROSS JOIN total GROUP BY h.piece, h.c HAVING min(ln(h.c * t / x.c / y.c)) >= 2.5),
+lexicon AS (SELECT piece, ln(c / t) AS score FROM (SELECT b.piece, b.c FROM bound b LEFT JOIN continued USING (piece) WHERE most IS NULL OR most < 0.9 * b.c UNION ALL SELECT piece, c FROM counts WHERE size = 1), total),
+paths AS (SELECT run, 0 AS done, CAST(0 AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS sizes, CAST([] AS VARCHAR[]) AS words FROM runs
+UNION ALL SELECT p.run, CAST(s.e AS INT), p.score + l.score, list_prepend(s.k, p.sizes), list_append(p.words, s.piece) FROM paths p JOIN spans s ON s.run = p.run AND s.e - s.k = p.done AND s.k <= 6 JOIN lexicon l ON l.piece = s.piece),
+best AS (SELECT run, words FROM paths WHERE done = length(run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY round(score, 8) DESC, len(sizes), sizes) = 1)
+SELECT p_partkey, array_to_string(words, ' ') AS words FROM part JOIN best ON run = replace(p_name, ' ', '')""",
     "stream_ingest": _q(_MERGED),
     "stream_dead_letters": f"SELECT reason, count(*) AS n, min(value) AS least FROM (SELECT value, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' ELSE CASE WHEN g <> 1 THEN 'unknown class' END END AS reason FROM ({_LINE})) WHERE reason IS NOT NULL GROUP BY reason",
     "stream_new_entities": "SELECT CAST(s_suppkey % 2 + 1 AS BIGINT) AS gid, n_name AS name, CAST(max(s_suppkey) AS BIGINT) AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
