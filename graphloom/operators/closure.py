@@ -15,24 +15,31 @@ def symmetric_closure(pairs: DataFrame) -> DataFrame:
 
 
 def transitive_closure(pairs: DataFrame, max_iter: int = MAX_ITER, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """All ``(a, b)`` with a path from a to b; ``(a, a)`` on cycles. Semi-naive with doubling: each round joins the newest paths
-    with all known ones, so the rounds are about the logarithm of the longest path. A round's new paths are written to the shared folder;
-    what is known is all these parts, and none is written twice.
+    """All ``(a, b)`` with a path from a to b; ``(a, a)`` on cycles. By doubling, so the rounds are about the logarithm of the longest shortest path.
+
+    After a round all pairs at a distance of ``n`` edges or less are known, and those at exactly ``n`` are marked as ``far``. A pair farther off,
+    up to twice ``n``, has a shortest path whose first ``n`` edges are a far pair and whose rest is known: a round joins the far pairs alone with all that
+    are known, so a pair is met once for each node at that place of a shortest path (once in a tree), and not once for each way to split it. Where no
+    pair is at ``n``, none is farther. A round's new pairs are written to the shared folder; what is known is all these parts, and none is written twice.
     """
-    known, path = written(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
-    delta, parts, total = known, [path], known.count()
+    base = pairs.select("src", "dst").where("src is not null and dst is not null").distinct()
+    new, path = written(base.withColumn("far", F.lit(True)), "closure")
+    spark, known, parts = new.sparkSession, new, [path]
+    total, far = new.agg(F.count(F.lit(1)), F.count_if("far")).first()
     for _ in range(max_iter):
-        ahead = delta.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        behind = known.select("src", F.col("dst").alias("mid")).join(delta.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        delta, path = written(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure-delta")
-        n = delta.count()
-        if n == 0:
-            return known
+        if far == 0:
+            return known.select("src", "dst")
+        front = new.where("far").select("src", F.col("dst").alias("mid"))
+        met = front.join(known.select(F.col("src").alias("mid"), "dst", "far"), "mid")
+        fresh = met.groupBy("src", "dst").agg(F.bool_and("far").alias("far")).join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        new, path = written(fresh.select("src", "dst", "far"), "closure-delta")
+        n, far = new.agg(F.count(F.lit(1)), F.count_if("far")).first()
         total += n
         if total > max_pairs:
             raise RuntimeError(f"the closure has more than {max_pairs} pairs")
+        near = spark.read.schema(new.schema).parquet(*parts).withColumn("far", F.lit(False))
         parts.append(path)
-        known = delta.sparkSession.read.schema(delta.schema).parquet(*parts)
+        known = near.unionByName(new)
     raise RuntimeError(f"the closure did not settle in {max_iter} rounds")
 
 

@@ -48,3 +48,18 @@ def test_empty_and_null(spark):
     none = table(spark, [])
     assert pairs(closure.transitive_closure(none)) == [] == pairs(closure.equivalence_closure(none))
     assert {tuple(r) for r in connected_components(table(spark, [(3, 3), (None, 1), (5, 4)])).collect()} == {(3, 3), (4, 4), (5, 4)}
+
+
+def test_pair_is_met_once_in_a_tree(spark, monkeypatch):
+    """A path of 7 edges takes three rounds, of which none finds a pair twice and none is empty."""
+    tables = []
+    real = closure.written
+    monkeypatch.setattr(closure, "written", lambda df, name: tables.append(name) or real(df, name))
+    assert len(pairs(closure.transitive_closure(table(spark, [(i, i + 1) for i in range(7)])))) == 28
+    assert tables == ["closure", *["closure-delta"] * 3]
+
+
+@pytest.mark.parametrize("n", (1, 2, 3, 4, 5, 8))
+def test_cycles_with_tails(spark, n):
+    rows = [(i, (i + 1) % n) for i in range(n)] + [(0, 50), (50, 51), (51, 52), (60, 0)]
+    assert pairs(closure.transitive_closure(table(spark, rows))) == reach(rows)
