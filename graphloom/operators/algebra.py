@@ -33,9 +33,10 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
     ends = ordered.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     twins = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("twins"))
-    rows = ordered.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b").join(twins, ["a", "b"])
+    # what is joined with the degrees is one row per pair of nodes; edges, with their ids, are moved once, to their pair
+    each = twins.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
     n = F.when(F.col("a") == F.col("b"), F.col("da") - 1).otherwise(F.col("da") + F.col("db") - F.col("twins") - 1)
-    return rows.select("edge_id", n.cast("long").alias("n"))
+    return ordered.join(each.select("a", "b", n.cast("long").alias("n")), ["a", "b"]).select("edge_id", "n")
 
 
 def reach_in_k(edges: DataFrame, pairs: DataFrame, k: int, directed: bool = False) -> DataFrame:
