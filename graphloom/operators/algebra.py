@@ -92,10 +92,11 @@ def union_graphs(nodes_a: DataFrame, edges_a: DataFrame, nodes_b: DataFrame, edg
 
 def remove_rels(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without the edges whose ids are in ``removed``, and without their ends that no edge keeps. Nodes that had no edge stay."""
-    gone = edges.join(removed.select("edge_id"), "edge_id", "left_semi")
-    kept = edges.join(removed.select("edge_id"), "edge_id", "left_anti")
-    ends = lambda e: e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    orphans = ends(gone).join(ends(kept), "id", "left_anti")
+    ids = removed.select("edge_id").distinct()
+    kept = edges.join(ids, "edge_id", "left_anti")
+    marked = edges.select("edge_id", "src", "dst").join(ids.withColumn("gone", F.lit(True)), "edge_id", "left")
+    ends = marked.select(F.explode(F.array("src", "dst")).alias("id"), F.col("gone").isNull().alias("kept"))  # of both kinds in one pass
+    orphans = ends.groupBy("id").agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("id")
     return nodes.join(orphans, "id", "left_anti"), kept
 
 

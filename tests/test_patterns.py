@@ -93,3 +93,12 @@ def test_pairs_that_have_met_leave_the_frontiers(spark, monkeypatch):
     got = {(r.a, r.b): r.reach for r in algebra.reach_in_k(e, asked, 6).collect()}
     assert got == {**{(0, i): True for i in range(1, 40)}, (200, 206): True, (200, 999): False}
     assert grown[0] == 40 and max(grown[1:]) <= 2
+
+
+def test_edges_are_moved_once(spark):
+    """Edge ids go through one join on their way to a count of neighbours; removed and kept ends are told apart in one pass."""
+    n, e = companies(spark)
+    lines = lambda df: df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Project" in x and "edge_id" in x for x in lines(algebra.neighbour_counts(e))) <= 2
+    left, _ = algebra.remove_rels(n, e, e.where("src = 1").select("edge_id"))
+    assert sum("Join " in x for x in lines(left)) == 2
