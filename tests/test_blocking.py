@@ -114,3 +114,27 @@ def test_one_batch_is_many_of_one_message(spark, tmp_path, seed):
     assert graph_of(spark, whole) == want
     dead = lambda store: sorted((x.value, x.reason) for x in spark.read.parquet(f"{store}/dead_letters").collect())
     assert dead(whole) == dead(single_)
+
+
+def _many_labels(spark):
+    q = spark.createDataFrame([(1, 1, 0, ["A"], {}), (1, 1, 1, ["B", "A"], {}), (2, 1, 0, ["C"], {}), (3, 2, 0, ["A"], {})], QUERY)
+    d = spark.createDataFrame([(1, i, [["A"], ["A", "B"], ["B", "A"], ["B"], ["D"]][i % 5], {}) for i in range(23)], NODE)
+    return q, d
+
+
+def test_sizes_of_blocks_without_pairs(spark):
+    q, d = _many_labels(spark)
+    some = linking.block(q, d).groupBy("msg_id", "gid", "q_id").agg(F.count(F.lit(1)).alias("n"), F.min("d_id").alias("least"), F.max("d_id").alias("most"))
+    got = sorted(map(tuple, linking.block_sizes(q, d).collect()))
+    assert got == sorted(map(tuple, some.collect())) == [(1, 1, 0, 15, 0, 22), (1, 1, 1, 19, 0, 22)]
+
+
+def test_pairs_of_one_label_are_spread(spark):
+    """One label and one file: its pairs are made by many tasks, and each once."""
+    q, d = _many_labels(spark)
+    q = q.where("q_id = 0 AND gid = 1 AND msg_id = 1").select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("msg_id"), "gid", "q_id", "labels", "props")
+    d = spark.range(300).coalesce(1).select(F.lit(1).cast("long").alias("gid"), "id", F.array(F.lit("A")).alias("labels"), F.create_map().cast(f"map<string, {PROP}>").alias("props"))
+    met = linking.block(q, d).select("msg_id", "d_id", F.spark_partition_id().alias("task"))
+    sizes = [r["count"] for r in met.groupBy("task").count().collect()]
+    assert sum(sizes) == 40 * 300 == met.select("msg_id", "d_id").distinct().count()
+    assert len(sizes) > 4 and max(sizes) < 6000
