@@ -1,5 +1,6 @@
 import pytest
 from graphs import companies, make, node, pairs
+from pyspark.sql import functions as F
 
 from graphloom.model import label_edges
 from graphloom.operators import closure, views
@@ -34,6 +35,18 @@ def test_one_edge_is_not_two_hops(spark):
     assert pairs(views.compose_vrel(label_edges(n, e), mirror)) == [(1, 1)]
 
 
+def test_a_hub_is_dealt_into_tiles(spark, monkeypatch):
+    """All pairs of a hub, each once, by many tasks; and a second edge alone makes a node its own partner."""
+    monkeypatch.setattr(views, "TILE", 8)
+    n, e = make(spark, [node(i, "C") for i in range(60)] + [node(100, "N"), node(101, "N")], [(i, "in", 100 if i < 50 else 101) for i in range(60)] + [(7, "in", 100)])
+    vrel = VRel("V", Hop("in", "C", "N"), Hop("in", "C", "N", True))
+    got = views.compose_vrel(label_edges(n, e).coalesce(1), vrel)
+    want = [(a, b) for a in range(60) for b in range(60) if (a < 50) == (b < 50) and (a != b or a == 7)]
+    assert pairs(got) == want
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 1300
+
+
 def test_full_view_equals_base_and_expansion(spark):
     n, e = companies(spark)
     base = ViewConfig(("Company", "Person"), (Rel("founder", ("Company",), ("Person",)),))
