@@ -6,6 +6,7 @@ from graphloom.model import label_edges
 from graphloom.operators import closure, views
 from graphloom.plans import config
 from graphloom.plans.config import Hop, Rel, ViewConfig, VRel
+from graphloom.sources import tables
 
 PARTNERS = VRel("VREL", Hop("founder", "Company", "Person"), Hop("founder", "Company", "Person", True))
 
@@ -97,3 +98,23 @@ def test_pairs_come_once_whatever_the_number_of_middle_nodes(spark, second):
     turned = [(i, d, s) if second.inverse else (i, s, d) for i, s, t, d in edges if t == second.type]
     want = {(s, d) for i, s, t, m in edges if t == "a" for j, m2, d in turned if m2 == m and i != j}
     assert pairs(views.compose_vrel(label_edges(n, e), VRel("V", first, second))) == sorted(want)
+
+
+def test_shuffles_begin_with_parts_by_input(spark, tmp_path, monkeypatch):
+    """A larger input has more tasks, not larger ones, whatever the session's number of partitions; a small one has that number."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    small = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    path = str(tmp_path / "rows")
+    spark.range(50_000).withColumn("x", F.xxhash64("id")).write.parquet(path)
+    try:
+        tables.sized(spark, path)
+        assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+        monkeypatch.setattr(tables, "PART_BYTES", 10_000)
+        tables.sized(spark, path)
+        for x in small:
+            spark.conf.set(x, "1b")
+        spread = spark.read.parquet(path).groupBy("x").count().groupBy(F.spark_partition_id()).count().collect()
+        assert len(spread) > 30 and max(r["count"] for r in spread) < 2500
+    finally:
+        for x in (name, *small):
+            spark.conf.unset(x)
