@@ -37,29 +37,35 @@ def enumerate_patterns(spark, rels: list[Rel], new_types: set[str] | None = None
 def prune_patterns(le: DataFrame, patterns: DataFrame) -> DataFrame:
     """``patterns`` with ``exists``, for all of them in one pass.
 
-    Edges are counted per (middle node, hop): as many rows as nodes and hops at most, never pairs of edges. A node's signature is the set
-    of its hops on either side, each with its edge where there is just one; signatures repeat, and only distinct ones meet the
-    patterns. A pattern exists at a node unless each side has exactly one edge there and it is the same. Patterns come from
-    configs, so they are few.
+    Edges are counted per (middle node, relation with its labels, end that the node is of it): as many rows as nodes and such ends at most, never
+    pairs of edges. The first hop against its edge and the second along it meet the node at the same end, so one count does for both. A
+    node's signature is the set of these, each with its edge where there is just one; signatures repeat, and only distinct ones meet the patterns. A pattern exists at a node unless each side has exactly one edge there and it is the same. Patterns come from configs, so
+    they are few; edges of other types are left out before they are given labels.
     """
     hop_id = lambda i: F.concat_ws(" ", *(F.col(f"{c}{i}").cast("string") for c in HOP))
     side = lambda i: patterns.select(*(F.col(f"{c}{i}").alias(c) for c in HOP), hop_id(i).alias("hop"), F.lit(i).alias("side")).distinct()
-    hops = side(1).unionByName(side(2)).withColumnRenamed("type", "hop_type")
-    ends = F.array_contains("src_labels", F.col("start")) & F.array_contains("dst_labels", F.col("end"))
-    near = F.when((F.col("side") == 1) == F.col("inverse"), F.col("src")).otherwise(F.col("dst"))
-    met = le.join(hops, (le["type"] == hops["hop_type"]) & ends)
-    counts = met.groupBy("side", "hop", near.alias("mid")).agg(F.when(F.count(F.lit(1)) == 1, F.min("edge_id")).alias("only"))
-    # an edge matters only where it is the single one of a hop on both sides of a node: as its place among these
-    hop = F.struct("side", "hop", "only")
-    nodes = counts.groupBy("mid").agg(F.array_sort(F.collect_set(hop)).alias("hops"))  # as many as there are hops
-    edges = F.array_sort(F.array_distinct(F.filter(F.transform("hops", lambda h: h["only"]), lambda e: e.isNotNull())))
-    signature = F.transform("hops", lambda h: F.struct(h["side"].alias("side"), h["hop"].alias("hop"), F.array_position(F.col("edges"), h["only"]).alias("only")))
-    seen = nodes.withColumn("edges", edges).select(signature.alias("hops")).distinct()
-    one = seen.select("hops", F.explode("hops").alias("a")).where("a.side = 1")
-    both = one.select("a", F.explode("hops").alias("b")).where("b.side = 2 and (a.only is null or b.only is null or a.only <> b.only)").select(F.col("a.hop").alias("hop1"), F.col("b.hop").alias("hop2")).distinct()
+    hops = side(1).unionByName(side(2)).withColumn("at_start", (F.col("side") == 1) == F.col("inverse")).collect()
+    if not hops:
+        return patterns.withColumn("exists", F.lit(False))
+    rels = {key: i for i, key in enumerate(sorted({(h.type, h.start, h.end) for h in hops}))}
+    spark = le.sparkSession
+    told = spark.createDataFrame([(rels[h.type, h.start, h.end], h.at_start, h.side, h.hop) for h in hops], "rel int, at_start boolean, side int, hop string")
+    fits = F.array_compact(F.array(*(F.when((F.col("type") == t) & F.array_contains("src_labels", s) & F.array_contains("dst_labels", e), F.lit(i)) for (t, s, e), i in rels.items())))
+    used = le.where(F.col("type").isin(sorted({t for t, _, _ in rels}))).select("edge_id", "src", "dst", F.explode(fits).alias("rel"))
+    ends = F.explode(F.array(*(F.struct(F.lit(at).alias("at_start"), F.col("src" if at else "dst").alias("mid")) for at in sorted({h.at_start for h in hops}))))
+    found = used.select("edge_id", "rel", ends.alias("x")).select("edge_id", "rel", "x.*")
+    single = found.groupBy("rel", "at_start", "mid").agg(F.when(F.count(F.lit(1)) == 1, F.min("edge_id")).alias("only"))
+    # an edge matters only where it is the single one at both ends of a pattern: as its place among these
+    met = F.struct("rel", "at_start", "only")
+    nodes = single.groupBy("mid").agg(F.array_sort(F.collect_set(met)).alias("met"))  # as many as there are hops
+    edges = F.array_sort(F.array_distinct(F.filter(F.transform("met", lambda x: x["only"]), lambda e: e.isNotNull())))
+    signature = F.transform("met", lambda x: F.struct(x["rel"].alias("rel"), x["at_start"].alias("at_start"), F.array_position(F.col("edges"), x["only"]).alias("only")))
+    seen = nodes.withColumn("edges", edges).select(signature.alias("met")).distinct()
+    each = lambda rows, i, *more: rows.select(*more, F.explode("met").alias("x")).select(*more, "x.*").join(told.where(F.col("side") == i), ["rel", "at_start"]).select(*more, F.col("hop").alias(f"hop{i}"), F.col("only").alias(f"only{i}"))
+    both = each(each(seen, 1, "met"), 2, "met", "hop1", "only1").where("only1 is null or only2 is null or only1 <> only2").select("hop1", "hop2").distinct()
     tagged = patterns.select("pattern_id", hop_id(1).alias("hop1"), hop_id(2).alias("hop2"))
-    found = tagged.join(both, ["hop1", "hop2"]).select("pattern_id").distinct()
-    return patterns.join(found.withColumn("exists", F.lit(True)), "pattern_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+    held = tagged.join(both, ["hop1", "hop2"]).select("pattern_id").distinct()
+    return patterns.join(held.withColumn("exists", F.lit(True)), "pattern_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
 def two_hop_type_pairs(edges: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ def test_single_edge_patterns(spark):
     assert len(found) == 2 and not any(r["exists"] for r in found)
 
 
+def test_hops_of_patterns_are_counted_once_for_each_end(spark):
+    """Loops, parallel edges and several labels; edges that no pattern names are not given labels, and hops are not moved by name."""
+    n, e = make(spark, [node(1, "A"), node(2, "B"), node(3, "A", "B"), node(4, "A")], [(1, "r", 2), (3, "r", 3), (4, "s", 2), (4, "s", 2), (3, "s", 1), (1, "x", 2)])
+    le = label_edges(n, e)
+    asked = patterns.enumerate_patterns(spark, [Rel("r", ("A", "B"), ("B",)), Rel("s", ("A",), ("A", "B"))])
+    found = patterns.prune_patterns(le, asked)
+    want = {r.pattern_id: patterns.pattern_exists(le, *(Hop(r[f"type{i}"], r[f"start{i}"], r[f"end{i}"], r[f"inverse{i}"]) for i in (1, 2))) for r in asked.collect()}
+    assert {r.pattern_id: r["exists"] for r in found.collect()} == want and len(set(want.values())) == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan or "IN (r,s)" in plan
+    assert not any("Aggregate [side" in x for x in plan.splitlines())
+    assert patterns.prune_patterns(le, asked.where("false")).count() == 0
+
+
 def test_profile(spark):
     n, e = companies(spark)
     le = label_edges(n, e)
