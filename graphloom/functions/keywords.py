@@ -52,7 +52,8 @@ def edge_keywords(nodes: DataFrame, edges: DataFrame, lexicon: DataFrame | None
     ends = ends.withColumn("name_words", words(F.array_join("names", " ")))
     if lexicon is not None:
         ends = segmented_words(ends, lexicon, script, longest)
-    side = lambda end, i: ends.select(F.col("id").alias(end), F.col("labels").alias(f"l{i}"), F.col("names").alias(f"n{i}"), F.col("words").alias(f"w{i}"), F.col("name_words").alias(f"nw{i}"))
-    distinct = F.array_distinct(F.concat("l1", "l2", "n1", "n2", "w1", "w2"))
-    weighted = F.concat(distinct, "l1", "l1", "n1", "n2", "nw1", "nw2")
-    return edges.join(side("src", 1), "src").join(side("dst", 2), "dst").select("edge_id", F.array_sort(weighted).alias("keywords"))
+    # what a node gives to an edge is put together once per node: its distinct words, and what it adds as a start and as an end
+    own = F.array_distinct(F.concat("labels", "names", "words"))
+    side = lambda end, i, *again: ends.select(F.col("id").alias(end), own.alias(f"own{i}"), F.concat(*again, "names", "name_words").alias(f"again{i}"))
+    bag = F.concat(F.array_union("own1", "own2"), "again1", "again2")
+    return edges.join(side("src", 1, "labels", "labels"), "src").join(side("dst", 2), "dst").select("edge_id", F.sort_array(bag).alias("keywords"))

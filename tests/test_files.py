@@ -67,6 +67,17 @@ def test_edge_keywords(spark):
     assert got["by|1|3|1"] == sorted(["Film", "Empty", "Red Sun", "Red", "Sun", "Film", "Film", "Red Sun", "Red", "Sun"])
 
 
+def test_keywords_are_put_together_per_node(spark):
+    """An edge is moved with two arrays for each end, and its bag is sorted by a compiled function."""
+    n, e = make(spark, [(1, ["P", "Q"], {"name": VALUE("Q b"), "x": VALUE("b a")}), (2, ["Q"], {"name": VALUE("b")})], [(1, "r", 2), (2, "r", 2)])
+    out = edge_keywords(n, e)
+    got = {r.edge_id: r.keywords for r in out.collect()}
+    assert got["r|1|2|0"] == sorted(["P", "Q", "Q b", "b", "a", "P", "Q", "P", "Q", "Q b", "b", "Q", "b", "b"])
+    assert got["r|2|2|1"] == sorted(["Q", "b", "Q", "Q", "b", "b", "b", "b"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_union(" in plan and "sort_array(" in plan and "array_sort(" not in plan
+
+
 def test_keywords_of_several_names(spark):
     text = lambda x: {"kind": "str", "num": None, "str": x, "bool": None}
     both = {"kind": "list", "num": None, "str": None, "bool": None, "arr": [text("ann bo"), text(" "), text("Eve")]}
