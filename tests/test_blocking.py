@@ -138,3 +138,28 @@ def test_pairs_of_one_label_are_spread(spark):
     sizes = [r["count"] for r in met.groupBy("task").count().collect()]
     assert sum(sizes) == 40 * 300 == met.select("msg_id", "d_id").distinct().count()
     assert len(sizes) > 4 and max(sizes) < 6000
+
+
+def test_pairs_of_classes_that_share_most_signatures_are_scored_in_a_grid(spark):
+    """Names of one form, as customers' are: nearly all share a piece. The pairs are not made by signatures, and the result is all there is."""
+    def props(i, form):
+        out = {"name": form.format(i)} if i % 5 else {"tags": [f"tag {i % 3}", "z"]}
+        if i % 3 == 0:
+            out["size"] = i % 7 if i % 2 else "odd" if i % 4 == 2 else i
+        if i % 4 == 0:
+            out["tags"] = [f"tag {i % 2}"] if i % 8 else "tag 1"
+        return {k: value(v) for k, v in {**out, "_key": i}.items()}
+
+    labels = lambda i: ["A", "B"] if i % 2 else ["B"]
+    q = spark.createDataFrame([(i, 1, 0, labels(i), props(i, "Customer#0000{:03d}")) for i in range(30)], QUERY)
+    d = spark.createDataFrame([(1, i, labels(i + 1), props(i, "Customer#00001{:02d}")) for i in range(40)], NODE)
+    assert blocking.split_pairs(q, d, 0.7)[1].count() > 0
+    key = lambda df: sorted((r.msg_id, r.d_id, round(r.sim, 9)) for r in df.collect())
+    found = key(linking.near(q, d, 0.7))
+    assert found == key(linking.similarity(linking.block(q, d)).where("sim >= 0.7")) and found
+    # nothing but the broad classes meets in the grid, and all of a selective one comes by signatures
+    alone = spark.createDataFrame([(1, 1, 0, ["A"], {"size": value(5)}), (2, 1, 0, ["A"], {"size": value(900)})], QUERY)
+    sizes = spark.createDataFrame([(1, i, ["A"], {"size": value(i)}) for i in range(300)], NODE)
+    pairs, broad = blocking.split_pairs(alone, sizes, 0.8)
+    assert broad.count() == 0 and {(r.msg_id, r.d_id) for r in pairs.collect()} >= {(1, 5)}
+    assert key(linking.near(alone, sizes, 0.8)) == [(1, 5, 1.0)]
