@@ -163,3 +163,22 @@ def test_pairs_of_classes_that_share_most_signatures_are_scored_in_a_grid(spark)
     pairs, broad = blocking.split_pairs(alone, sizes, 0.8)
     assert broad.count() == 0 and {(r.msg_id, r.d_id) for r in pairs.collect()} >= {(1, 5)}
     assert key(linking.near(alone, sizes, 0.8)) == [(1, 5, 1.0)]
+
+
+def test_clashes_in_time_are_found_without_meeting_every_version(spark):
+    r = random.Random(5)
+    pick = lambda: r.choice([1, 2.5, "a", True, ["b"], [2, "c"]])
+    asked = [(m, r.randrange(2), 0, ["A"], {k: pick() for k in r.sample("xyz", 2)}) for m in range(1, 40)]
+    held = [(r.randrange(2), ["A"], {r.choice("xyz"): pick()}, *r.choice([(None, None), (None, 9), (7, 12), (12, 15), (20, 21), (30, None)])) for _ in range(6)]
+    as_kinds = lambda x: {single(i)["kind"] for i in (x if isinstance(x, list) else [x])}
+    want = {(m, g) for m, g, _, _, props in asked for h, _, old, since, until in held for k in props if g == h and k in old and len(as_kinds(props[k]) | as_kinds(old[k])) > 1 and (since is None or since < m) and (until is None or until >= m)}
+    valued = lambda p: {k: value(v) for k, v in p.items()}
+    q = spark.createDataFrame([(*x[:4], valued(x[4])) for x in asked], QUERY)
+    d = spark.createDataFrame([(g, labels, valued(p), *t) for g, labels, p, *t in held], f"gid long, labels array<string>, props map<string, {PROP}>, since long, until long")
+    assert {tuple(x) for x in blocking.clashes(q, d).collect()} == want and want
+    # 60,000 messages and as many versions of a value: to meet them all would be 3,600,000,000 pairs
+    text = F.create_map(F.lit("x"), F.lit(None).cast(PROP)).cast(f"map<string, {PROP}>")
+    text = F.transform_values(text, lambda k, v: F.struct(F.lit("str").alias("kind"), v["num"].alias("num"), k.alias("str"), v["bool"].alias("bool"), v["arr"].alias("arr")))
+    many = spark.range(60_000).select(F.lit(1).cast("long").alias("gid"), F.array(F.lit("A")).alias("labels"), text.alias("props"), F.col("id").alias("n"))
+    versions = many.withColumn("since", F.col("n")).withColumn("until", F.col("n") + 1)
+    assert blocking.clashes(many.withColumnRenamed("n", "msg_id"), versions).isEmpty()
