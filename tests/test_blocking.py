@@ -182,3 +182,12 @@ def test_clashes_in_time_are_found_without_meeting_every_version(spark):
     many = spark.range(60_000).select(F.lit(1).cast("long").alias("gid"), F.array(F.lit("A")).alias("labels"), text.alias("props"), F.col("id").alias("n"))
     versions = many.withColumn("since", F.col("n")).withColumn("until", F.col("n") + 1)
     assert blocking.clashes(many.withColumnRenamed("n", "msg_id"), versions).isEmpty()
+
+
+def test_signatures_of_query_nodes_are_spread_and_not_aggregated(spark):
+    one = [(i, 1, 0, ["A"], {"name": value(f"name of {i}"), "tags": value(["a", "a", i])}) for i in range(40)]
+    q, d = spark.createDataFrame(one, QUERY).coalesce(1), spark.createDataFrame([(1, i, ["A"], x[4]) for i, x in enumerate(one)], NODE)
+    mine, _ = blocking._signed(q, d, blocking.probes(q, blocking.statistics(d), 0.2))
+    assert mine.rdd.getNumPartitions() >= 8 and mine.count() == mine.distinct().count() > 40
+    plan = mine._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [msg_id" not in plan
