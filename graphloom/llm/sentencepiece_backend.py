@@ -3,14 +3,15 @@
 The model protobuf is parsed and its normaliser, metaspace marker, unigram scores or merge ranks, and byte fallback are
 rebuilt as a ``tokenizers`` pipeline. No piece has a metaspace behind another character (checked when a model is loaded; else
 whole texts are encoded), so no merge crosses the start of a word: a text is the concatenation of its words' encodings. Each
-batch encodes its distinct words once, multithreaded, and ids are put together by array indexing.
+batch encodes its distinct words once, multithreaded, and ids are put together by array operations. The library costs more per
+sequence than per character, so words of a BPE model go to it many in a sequence; only a word's first piece has a metaspace,
+which tells the words apart in the ids.
 """
 
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,40 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 CHUNK_CHARS = 1 << 20
-KEPT_CHARS = 2 << 20  # of words that are remembered with their encodings
-UNIT = re.compile(f"{METASPACE}*[^{METASPACE}]+|{METASPACE}+")
-
-
-def units(text: str) -> list[str]:
-    """Words with the metaspaces before them, and metaspaces at the end."""
-    if text[:1] == METASPACE and text[-1] != METASPACE and METASPACE * 2 not in text:
-        return [METASPACE + w for w in text[1:].split(METASPACE)]
-    return UNIT.findall(text)
+SECTION_BYTES = 4 << 10  # of words in one sequence
+KEPT_CHARS = 1 << 19  # bytes of sequences whose encodings the library holds at once
+
+
+def laid(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets of strings without nulls, from 0 on, and their bytes."""
+    if not len(strings):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return ends - ends[0], np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def metaspaces(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes a metaspace begins."""
+    found = np.zeros(len(data), bool)
+    if len(data) > 2:
+        a, b, c = METASPACE.encode()
+        found[:-2] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+    return found
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words with the metaspaces before them, and metaspaces at the end of a text; and how many units each text has."""
+    ends, data = laid(texts)
+    starts = found = metaspaces(data)
+    if len(data):
+        starts = found.copy()
+        starts[3:] &= ~found[:-3]
+        # a word without a metaspace begins where a text does
+        starts[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(starts)
+    cuts = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
+    return pa.StringArray.from_buffers(len(at), cuts, pa.py_buffer(data)), np.diff(np.searchsorted(at, ends))
 
 
 class Codec:
@@ -86,38 +112,60 @@ class Codec:
         self.pieces = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else p.piece.replace(METASPACE, " ").encode() for p in model.pieces]
         self.oracle = SentencePieceProcessor(model_proto=raw)
         self.plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
-        self.forget()
-
-    def normalized(self, text: str) -> str:
-        text = (text.replace(" ", METASPACE) if self.escape else text) if self.plain else self.normalizer.normalize_str(text)
-        return METASPACE + text if self.prefix and text else text
+        self.joins = self.by_words and trainer.model_type == BPE and METASPACE in usable
+        self.first = np.array([p.startswith(METASPACE) for p in pieces], bool)
+
+    def normalized(self, texts: pa.Array) -> pa.Array:
+        """Texts as the model sees them; empty ones and nulls are empty."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.plain:
+            texts = pa.array(map(self.normalizer.normalize_str, texts.to_pylist()), pa.string())
+        elif self.escape:
+            texts = pc.replace_substring(texts, " ", METASPACE)
+        return pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(METASPACE, texts, "")) if self.prefix else texts
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text. Words coded before are kept, until they have ``KEPT_CHARS``."""
-        if self.held > KEPT_CHARS:
-            self.forget()
-        index, before = self.index, len(self.index)
-        words = [np.array([index.setdefault(u, len(index)) for u in (units(t) if self.by_words else [t] * bool(t))], np.int64) for t in map(self.normalized, texts)]
-        fresh = list(islice(index, before, None))
-        self.held += sum(map(len, fresh))
-        coded = self.encode_units(fresh)
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded))])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(coded), np.int32)])
-        sizes, starts = self.sizes, np.cumsum(self.sizes) - self.sizes
-        used = np.concatenate(words) if words else np.zeros(0, np.int64)
-        n = sizes[used]
-        ends = np.cumsum(n)
-        flat = self.pool[np.repeat(starts[used] - (ends - n), n) + np.arange(n.sum())] if len(used) else np.zeros(0, np.int32)
-        marks = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
-        return flat, np.diff(marks)
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.held = 0
-        self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def encode_joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for words that each begin with their only metaspace."""
+        ends, data = laid(words)
+        cuts = ends[np.unique([0, *(np.flatnonzero(np.diff(ends[:-1] // SECTION_BYTES)) + 1), len(words)])]
+        held = np.unique([0, *(np.flatnonzero(np.diff(cuts[:-1] // KEPT_CHARS)) + 1), len(cuts) - 1])
+        raw, found = data.tobytes(), [np.zeros(0, np.int32)]
+        for lo, hi in zip(held[:-1], held[1:], strict=True):
+            coded = self.encode_units([raw[a:b].decode() for a, b in zip(cuts[lo:hi], cuts[lo + 1 : hi + 1], strict=True)])
+            found.append(np.fromiter(chain.from_iterable(coded), np.int32))
+        flat = np.concatenate(found)
+        at = np.flatnonzero(self.first[flat])
+        if len(at) != len(words):
+            raise ValueError(f"{len(words)} words were encoded as {len(at)}")
+        return flat, np.diff(np.append(at, len(flat)))
+
+    def encode_distinct(self, words: pa.Array) -> pa.ListArray:
+        ends, data = laid(words)
+        found = np.append(metaspaces(data), np.zeros(4, bool))
+        joined = found[ends[:-1]] & ~found[ends[:-1] + 3] & (np.diff(ends) > 3) if self.joins else np.zeros(len(words), bool)
+        flat, some = self.encode_joined(words.filter(pa.array(joined)))
+        coded = self.encode_units(words.filter(pa.array(~joined)).to_pylist())
+        order, sizes = np.append(np.flatnonzero(joined), np.flatnonzero(~joined)), np.append(some, np.fromiter(map(len, coded), np.int64, len(coded)))
+        pool = np.append(flat, np.fromiter(chain.from_iterable(coded), np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(pool, pa.int32()))
+        return lists.take(pa.array(np.argsort(order)))
+
+    def encode(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text; a null has none."""
+        texts = self.normalized(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if self.by_words:
+            words, per_text = units(texts)
+        else:
+            some = pc.not_equal(texts, "")
+            words, per_text = texts.filter(some), some.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = words.dictionary_encode()
+        coded = self.encode_distinct(words.dictionary)
+        sizes = coded.value_lengths().to_numpy()[words.indices.to_numpy()]
+        marks = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.append(0, np.cumsum(per_text))]
+        return coded.take(words.indices).flatten().to_numpy(), np.diff(marks)
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -151,25 +199,25 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(local_path(model_path, ship))
         for batch in batches:
-            lengths = np.cumsum(np.nan_to_num(np.array(pc.utf8_length(batch.column(text_col)).to_numpy(zero_copy_only=False), float)))
+            column = batch.column(text_col)
+            flat, counts = tool.encode(column)
+            ends = np.append(0, np.cumsum(counts))
+            lengths = np.cumsum(np.nan_to_num(np.array(pc.utf8_length(column).to_numpy(zero_copy_only=False), float)))
             cuts = np.unique([0, *(np.flatnonzero(np.diff(lengths // CHUNK_CHARS)) + 1), len(lengths)])
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(int(lo), int(hi - lo))
                 texts = part.column(text_col).to_pylist()
-                some = [i for i, t in enumerate(texts) if t is not None]
-                flat, counts = tool.encode([texts[i] for i in some])
-                ends, listed = np.cumsum(counts), flat.tolist()
-                parity, trip, sizes = [None] * len(texts), [None] * len(texts), np.zeros(len(texts), np.int64)
-                for i, a, b in zip(some, (ends - counts).tolist(), ends.tolist(), strict=True):
-                    sizes[i] = b - a
-                    ids = listed[a:b]
-                    trip[i] = tool.decode(ids) == texts[i]
-                    if i % check_one_in == 0:
-                        parity[i] = tool.oracle.encode(texts[i]) == ids
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                parity, trip = [None] * len(texts), [None] * len(texts)
+                for i, t in enumerate(texts):
+                    if t is not None:
+                        ids = flat[ends[lo + i] : ends[lo + i + 1]].tolist()
+                        trip[i] = tool.decode(ids) == t
+                        if i % check_one_in == 0:
+                            parity[i] = tool.oracle.encode(t) == ids
                 null = np.array([t is None for t in texts], bool)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(sizes, pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
+                offsets, own = (ends[lo : hi + 1] - ends[lo]).astype(np.int32), flat[ends[lo] : ends[hi]]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(own, pa.int32()), mask=pa.array(null))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(counts[lo:hi], pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
 
     return kept.mapInArrow(trimmed_batches(run), schema)
 

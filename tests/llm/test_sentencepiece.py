@@ -1,5 +1,8 @@
 import os
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +37,62 @@ def test_fixed_texts_and_forgetting(tool, monkeypatch):
         assert flat.tolist() == tool.oracle.encode(t) and counts.tolist() == [len(flat)]
 
 
+def test_words_share_sequences(monkeypatch):
+    tool, sent = sp.Codec(sp.DEFAULT_MODEL), []
+    told = tool.encode_units
+    monkeypatch.setattr(tool, "encode_units", lambda units: sent.extend(units) or told(units))
+    text = " ".join(f"w{i}ord é{i * 7919}" for i in range(5000))
+    flat, counts = tool.encode([text, text[:1000]])
+    assert flat[: counts[0]].tolist() == tool.oracle.encode(text) and flat[counts[0] :].tolist() == tool.oracle.encode(text[:1000])
+    assert 1 < len(sent) < 100  # of 10,000 distinct words
+
+
+@pytest.mark.parametrize("section", [1, 8, 4096])
+def test_texts_of_one_batch(tool, monkeypatch, section):
+    monkeypatch.setattr(sp, "SECTION_BYTES", section)
+    monkeypatch.setattr(sp, "KEPT_CHARS", 3 * section)
+    texts = ["left out", *TEXTS, None, "ends  ", " a", "▁", "", None, "▁▁a▁", "a", *TEXTS[::-1]]
+    for kind in (pa.string(), pa.large_string()):
+        flat, counts = tool.encode(pa.array(texts, kind)[1:])
+        assert counts.sum() == len(flat)
+        for t, ids in zip(texts[1:], [p.tolist() for p in np.split(flat, np.cumsum(counts)[:-1])], strict=True):
+            assert ids == (tool.oracle.encode(t) if t else []), t
+    for none in ([], [""], pa.array([None], pa.string())):
+        flat, counts = tool.encode(none)
+        assert flat.tolist() == [] and counts.tolist() == [0] * len(none)
+
+
+@given(st.lists(st.text("▁ab é", max_size=9), max_size=5))
+def test_units(texts):
+    got, per_text = sp.units(pa.array(texts, pa.string()))
+    want = [re.findall("▁*[^▁]+|▁+", t) for t in texts]
+    assert got.to_pylist() == sum(want, []) and per_text.tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("pieces", [["▁", "a", "b", "ab", "▁a", "▁ab", "▁▁", "▁▁a"], ["a", "b", "ab"], ["▁", "a", "b", "a▁", "b▁a", "▁b"]])
+def test_models_whose_words_may_not_be_joined(tmp_path, prefix, pieces):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    model.trainer_spec.model_type = sp.BPE
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.add_dummy_prefix = prefix
+    model.normalizer_spec.escape_whitespaces = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    for piece, kind in [("<unk>", sp.UNKNOWN), ("<s>", sp.CONTROL), ("</s>", sp.CONTROL), *((f"<0x{i:02X}>", sp.BYTE) for i in range(256))]:
+        model.pieces.add(piece=piece, score=0, type=kind)
+    for i, piece in enumerate(pieces):
+        model.pieces.add(piece=piece, score=-i, type=sp.NORMAL)
+    path = tmp_path / "b.model"
+    path.write_bytes(model.SerializeToString())
+    tool = sp.Codec(str(path))
+    texts = ["ab", "", "b ab a", "  aab  ", "a  b", " ", "é ab"]
+    flat, counts = tool.encode(texts)
+    for t, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == tool.oracle.encode(t), t
+
+
 def test_table(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(99, None, "clash"), (0, "", "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(2)
