@@ -3,7 +3,7 @@
 The model protobuf is parsed and its normaliser, metaspace marker, unigram scores or merge ranks, and byte fallback are
 rebuilt as a ``tokenizers`` pipeline. No piece has a metaspace behind another character (checked when a model is loaded; else
 whole texts are encoded), so no merge crosses the start of a word: a text is the concatenation of its words' encodings. Each
-batch encodes its distinct words once, multithreaded, and ids are put together by array operations. The library costs more per
+chunk of a batch encodes its distinct words once, multithreaded, and ids are put together by array operations. The library costs more per
 sequence than per character, so words of a BPE model go to it many in a sequence; only a word's first piece has a metaspace,
 which tells the words apart in the ids.
 """
@@ -199,25 +199,23 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(local_path(model_path, ship))
         for batch in batches:
-            column = batch.column(text_col)
-            flat, counts = tool.encode(column)
-            ends = np.append(0, np.cumsum(counts))
-            lengths = np.cumsum(np.nan_to_num(np.array(pc.utf8_length(column).to_numpy(zero_copy_only=False), float)))
+            lengths = np.cumsum(np.nan_to_num(np.array(pc.utf8_length(batch.column(text_col)).to_numpy(zero_copy_only=False), float)))
             cuts = np.unique([0, *(np.flatnonzero(np.diff(lengths // CHUNK_CHARS)) + 1), len(lengths)])
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(int(lo), int(hi - lo))
                 texts = part.column(text_col).to_pylist()
+                flat, counts = tool.encode(part.column(text_col))
+                ends = np.append(0, np.cumsum(counts))
                 parity, trip = [None] * len(texts), [None] * len(texts)
                 for i, t in enumerate(texts):
                     if t is not None:
-                        ids = flat[ends[lo + i] : ends[lo + i + 1]].tolist()
+                        ids = flat[ends[i] : ends[i + 1]].tolist()
                         trip[i] = tool.decode(ids) == t
                         if i % check_one_in == 0:
                             parity[i] = tool.oracle.encode(t) == ids
                 null = np.array([t is None for t in texts], bool)
-                offsets, own = (ends[lo : hi + 1] - ends[lo]).astype(np.int32), flat[ends[lo] : ends[hi]]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(own, pa.int32()), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(counts[lo:hi], pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(counts, pa.int32(), mask=null), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_())], [f.name for f in schema.fields])
 
     return kept.mapInArrow(trimmed_batches(run), schema)
 
