@@ -194,5 +194,5 @@ SELECT p_partkey, array_to_string(words, ' ') AS words FROM part JOIN best ON ru
     "stream_dead_letters": f"SELECT reason, count(*) AS n, min(value) AS least FROM (SELECT value, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'no gid' WHEN 3 THEN 'no entities' ELSE CASE WHEN g <> 1 THEN 'unknown class' END END AS reason FROM ({_LINE})) WHERE reason IS NOT NULL GROUP BY reason",
     "stream_new_entities": "SELECT CAST(s_suppkey % 2 + 1 AS BIGINT) AS gid, n_name AS name, CAST(max(s_suppkey) AS BIGINT) AS size FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
 }
-for _name in ("blocked_pairs", "node_similarity", "top_k_candidates", "structural_support", "joint_assignment", "joint_assignment_groups", "merge_props", "rewire_edges", "updated_labels"):
+for _name in ("blocked_pairs", "node_similarity", "top_k_candidates", "structural_support", "joint_assignment", "joint_assignment_groups", "rewire_edges", "updated_labels"):
     SQL[_name] = _searched(SQL[_name])
