@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from graphloom.operators import linking
 from graphloom.plans import catalog
 
 TABLES = {
@@ -38,3 +39,11 @@ def test_merge_props_takes_every_message(spark, small):
     # each customer's message drops the last character of its name
     names = {i: p.split("name=")[1].split(";")[0] for i, p in got}
     assert all(names[k * 8 + 2] == f"Customer#{k:09d}"[:-1] for k in (1, 7, 20, 33, 40))
+
+
+def test_node_similarity_sends_no_side_of_its_pairs_through_the_driver(spark, small):
+    found = catalog.queries()["node_similarity"](spark, small)
+    q, _ = catalog.query_graph(spark, small, catalog.QUERY_SHARE)
+    plan = linking.similarity_table(q, catalog.stored(spark, small)[0])._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(tuple, found.collect())) == expected(small, "node_similarity", found.columns)
