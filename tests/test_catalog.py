@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from graphloom.model import PROP
 from graphloom.operators import linking
 from graphloom.plans import catalog
 
@@ -47,3 +48,14 @@ def test_node_similarity_sends_no_side_of_its_pairs_through_the_driver(spark, sm
     plan = linking.similarity_table(q, catalog.stored(spark, small)[0])._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
     assert sorted(map(tuple, found.collect())) == expected(small, "node_similarity", found.columns)
+
+
+def test_block_pairs_once_and_asks_little_of_a_pair(spark):
+    """Nodes with several common labels, in any order, are one pair; no set of labels is made for each pair."""
+    rows = [["A", "B"], ["B", "A"], ["C"], ["B", "C"], ["D"], []]
+    props = f"MAP<STRING, {PROP}>"
+    q = spark.createDataFrame([(1, 1, i, x, {}) for i, x in enumerate(rows)], f"msg_id long, gid long, q_id long, labels array<string>, props {props}")
+    d = spark.createDataFrame([(1, i, x, {}) for i, x in enumerate(rows)], f"gid long, id long, labels array<string>, props {props}")
+    met = linking.block(q, d)
+    assert "array_intersect" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.q_id, r.d_id) for r in met.collect()) == [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if set(x) & set(y)]
