@@ -161,27 +161,46 @@ def closure_pairs(members: DataFrame, reach: DataFrame, max_pairs: int = MAX_PAI
     return reach.join(inside("src"), "src").join(inside("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
 
+def _nearest(rows: DataFrame, strict: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` ``(near, far)`` without those that lead on from another one: where ``strict`` has ``(near, x)`` and ``links`` ``(x, far)``."""
+    on = strict.select("near", F.col("far").alias("x")).join(links.select(F.col("near").alias("x"), "far"), "x").select("near", "far")
+    return rows.join(on, ["near", "far"], "left_anti")
+
+
 def extend_closure(known: DataFrame, added: DataFrame) -> DataFrame:
     """The ``(src, dst)`` pairs that a stored transitive closure lacks once the pairs ``added`` are there. Rows with a null end are left out.
 
-    A new path goes from an added pair to an added pair, with what was known before, between and behind. Of the closure only
-    the rows that end where an added pair starts, or start where one ends, are taken; these and the pairs of added ends make a small graph
-    whose closure is made as ever. The stored closure is read twice (to take those rows, and to leave out what it has), each time as
-    the streamed side of a semi-join, so it moves only where the changes are too large to be sent to it.
+    A new path goes from an added pair to an added pair, with what was known before, between and behind. Of the closure only the rows that end where
+    an added pair starts, or start where one ends, are taken, and of these only those to the nearest start and from the nearest end: one that does not lie
+    behind another one on the way. So a pair is met once for each nearest start and end it has (once in a tree), and not for each on its way. Rows
+    among starts and ends, with the added pairs, make a small graph whose closure is made as ever; what leads to it and from it is joined to that. Nodes of
+    one cycle are never before one another, so each of these stays. The stored closure is read three times (to take those rows, for its
+    cycles, and to leave out what it has), as the streamed side of a semi-join, so it moves only where the changes are too large to be sent to it.
     """
     new = cut(_pairs(added, "src", "dst"), "extend-added")
     stored = known.select("src", "dst")
     starts, ends = new.select(F.col("src").alias("x")).distinct(), new.select(F.col("dst").alias("x")).distinct()
     marks = cut(starts.withColumn("s", F.lit(1)).unionByName(ends.withColumn("e", F.lit(1)), allowMissingColumns=True).groupBy("x").agg(F.max("s").alias("s"), F.max("e").alias("e")), "extend-marks")
-    at_end = marks.where("s = 1").select(F.col("x").alias("dst"), F.lit(True).alias("into"))
-    at_start = marks.where("e = 1").select(F.col("x").alias("src"), F.lit(True).alias("out_of"))
-    touching = cut(stored.join(at_end, "dst", "left").join(at_start, "src", "left").where("into or out_of"), "extend-touching")
-    into, out_of = touching.where("into").select("src", "dst"), touching.where("out_of").select("src", "dst")
-    bridges = touching.where("into and out_of").select("src", "dst")
-    steps = transitive_closure(new.unionByName(bridges)).join(starts.select(F.col("x").alias("src")), "src", "left_semi").join(ends.select(F.col("x").alias("dst")), "dst", "left_semi")
-    steps = cut(steps.select("src", "dst"), "extend-steps")
+    there = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    at = lambda end: marks.select(F.col("x").alias(end), there("s").alias(f"{end}_start"), there("e").alias(f"{end}_end"))
+    touching = stored.where("src <> dst").join(at("dst"), "dst", "left").join(at("src"), "src", "left").where("dst_start or src_end")
+    touching = cut(touching.fillna(False, ["src_start", "src_end", "dst_start", "dst_end"]), "extend-touching")
+    # rows whose nodes are on one cycle: the closure has both with themselves
+    loops = cut(stored.where("src = dst").select(F.col("src").alias("x")), "extend-loops")
+    round_ = touching.select("src", "dst").join(loops.withColumnRenamed("x", "src"), "src", "left_semi").join(loops.withColumnRenamed("x", "dst"), "dst", "left_semi")
+    mutual = cut(stored.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(round_, ["src", "dst"], "left_semi"), "extend-mutual")
+    strict = touching.join(mutual, ["src", "dst"], "left_anti")
+    to = lambda rows, keep: rows.where(keep).select(F.col("src").alias("near"), F.col("dst").alias("far"))
+    into = _nearest(to(touching, "dst_start"), to(strict, "dst_start"), to(strict, "dst_start and src_start"))
+    back = lambda rows, keep: rows.where(keep).select(F.col("dst").alias("near"), F.col("src").alias("far"))
+    out_of = _nearest(back(touching, "src_end"), back(strict, "src_end"), back(strict, "src_end and dst_end"))
+    into, out_of = cut(into.select(F.col("near").alias("src"), F.col("far").alias("dst")), "extend-into"), cut(out_of.select(F.col("far").alias("src"), F.col("near").alias("dst")), "extend-out")
+    marked, end = marks.select(F.col("x").alias("src")), marks.where("e = 1").select(F.col("x").alias("dst"))
+    small = new.unionByName(into.join(marked, "src", "left_semi").select("src", "dst")).unionByName(out_of.join(end, "dst", "left_semi").select("src", "dst"))
+    steps = cut(transitive_closure(small).join(end, "dst", "left_semi").select("src", "dst"), "extend-steps")
     mid = lambda c: F.col(c).alias("mid")
-    led = steps.unionByName(into.select("src", mid("dst")).join(steps.select(mid("src"), "dst"), "mid").select("src", "dst")).distinct()
-    led = cut(led, "extend-led")
-    made = cut(led.unionByName(led.select("src", mid("dst")).join(out_of.select(mid("src"), "dst"), "mid").select("src", "dst")).distinct(), "extend-made")
+    outer = into.join(marked, "src", "left_anti").select("src", mid("dst"))
+    led = cut(steps.unionByName(outer.join(steps.select(mid("src"), "dst"), "mid").select("src", "dst").distinct()), "extend-led")
+    beyond = out_of.join(end, "dst", "left_anti").select(mid("src"), "dst")
+    made = cut(led.unionByName(led.select("src", mid("dst")).join(beyond, "mid").select("src", "dst").distinct()), "extend-made")
     return made.join(stored.join(made, ["src", "dst"], "left_semi"), ["src", "dst"], "left_anti")

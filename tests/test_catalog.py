@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from graphloom.model import PROP
-from graphloom.operators import linking
+from graphloom.operators import condense, linking
 from graphloom.plans import catalog
 
 TABLES = {
@@ -59,3 +59,16 @@ def test_block_pairs_once_and_asks_little_of_a_pair(spark):
     met = linking.block(q, d)
     assert "array_intersect" not in met._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.q_id, r.d_id) for r in met.collect()) == [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if set(x) & set(y)]
+
+
+def test_a_closure_is_extended_through_the_nearest_added_pairs(spark, monkeypatch):
+    """A path of 40 nodes, and the same back, is met once at each step: what the joins are given are rows to one start and from one end."""
+    held = {}
+    once = condense.cut
+    monkeypatch.setattr(condense, "cut", lambda df, name: held.setdefault(name, once(df, name)))
+    known = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "src long, dst long")
+    added = spark.createDataFrame([(i + 1, i) for i in range(0, 40, 4)], "src long, dst long")
+    got = {(r.src, r.dst) for r in condense.extend_closure(known, added).collect()}
+    assert got == {p for k in range(0, 40, 4) for p in ((k, k), (k + 1, k), (k + 1, k + 1))}
+    into = held["extend-into"].collect()
+    assert len(into) == len({r.src for r in into}) == 37  # all nodes that a start lies behind
