@@ -29,10 +29,10 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
 
     Edges that share both ends would be counted twice, so those of the same two nodes are taken off once.
     """
-    ordered = edges.select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    ends = ordered.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    # without rows that no join would keep: then all that reads the edges reads them alike, and Spark moves them once for all
+    ordered = edges.select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a is not null and b is not null")
     twins = ordered.groupBy("a", "b").agg(F.count(F.lit(1)).alias("twins"))
+    degree = twins.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "twins").groupBy("node").agg(F.sum("twins").alias("d"))
     # what is joined with the degrees is one row per pair of nodes; edges, with their ids, are moved once, to their pair
     each = twins.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
     n = F.when(F.col("a") == F.col("b"), F.col("da") - 1).otherwise(F.col("da") + F.col("db") - F.col("twins") - 1)

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from graphs import make
 
 from graphloom.model import PROP
-from graphloom.operators import condense, linking
+from graphloom.operators import algebra, condense, linking
 from graphloom.plans import catalog
 
 TABLES = {
@@ -72,3 +73,13 @@ def test_a_closure_is_extended_through_the_nearest_added_pairs(spark, monkeypatc
     assert got == {p for k in range(0, 40, 4) for p in ((k, k), (k + 1, k), (k + 1, k + 1))}
     into = held["extend-into"].collect()
     assert len(into) == len({r.src for r in into}) == 37  # all nodes that a start lies behind
+
+
+def test_neighbours_are_counted_from_one_count_of_pairs(spark):
+    """Edges are read for their ids and to count pairs; degrees come from these counts, whose shuffle is used again."""
+    _, e = make(spark, [], [(1, "x", 2), (2, "x", 1), (2, "y", 3), (3, "y", 3), (3, "y", 4)])
+    e = e.unionByName(spark.createDataFrame([("none", None, None, "y"), ("half", 4, None, "y")], e.schema))
+    found = algebra.neighbour_counts(e.where("type <> 'z'"))
+    assert {r.edge_id.split("|")[-1]: r.n for r in found.collect()} == {"0": 2, "1": 2, "2": 4, "3": 2, "4": 3, "half": 1}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan ExistingRDD") == 2 * 2 and "ReusedExchange" in plan
