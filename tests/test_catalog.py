@@ -2,7 +2,8 @@
 
 import duckdb
 import pytest
-from graphs import make
+from graphs import make, props
+from pyspark.sql import functions as F
 
 from graphloom.model import PROP
 from graphloom.operators import algebra, condense, linking
@@ -83,3 +84,14 @@ def test_neighbours_are_counted_from_one_count_of_pairs(spark):
     assert {r.edge_id.split("|")[-1]: r.n for r in found.collect()} == {"0": 2, "1": 2, "2": 4, "3": 2, "4": 3, "half": 1}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Scan ExistingRDD") == 2 * 2 and "ReusedExchange" in plan
+
+
+def test_pairs_are_scored_alike_by_columns(spark):
+    """Compiled columns give what the properties themselves give: numbers, texts, booleans, lists, kinds that clash, and nodes that have nothing yet."""
+    rows = [({"n": 1, "t": "abc", "b": True}, {"n": 3, "t": "abd", "b": False}), ({"t": "abc"}, {"t": ["abd", "x"]}), ({"t": "abc"}, {"t": 4}), ({"t": ""}, {"t": ""}), ({"n": 1}, {"t": "a"}), ({"_k": 1, "n": 2}, {"_k": 5, "n": 2}), ({"n": 2}, {})]
+    both = props(spark, rows)
+    q = both.select("msg_id", "gid", "q_id", F.array(F.lit("A")).alias("labels"), F.col("q_props").alias("props"))
+    d = both.select("gid", "d_id", F.col("d_props").alias("props"))
+    got = linking._scored([(both.select("msg_id", "gid", "q_id", "d_id"), d.where("size(props) > 0"), ["gid", "d_id"])], q, d, 0.1)
+    key = lambda df: {r.q_id: r.sim for r in df.collect()}
+    assert key(got) == key(linking.similarity(both, 0.1)) and len(key(got)) == len(rows)
